@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streakframe.session import ship
+
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -38,7 +40,8 @@ def saved(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many documents, so that a batch of long texts fits a worker."""
+    """This package on the executors, and Arrow batches of at most so many documents, so that a batch of long texts fits a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -90,20 +93,29 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def once(df: DataFrame, keep: list[str], **value: Column) -> DataFrame:
+    """The columns of keep and one more, behind a generator: the optimizer copies it into no later filter or lambda."""
+    ((name, column),) = value.items()
+    return df.select(*keep, F.explode(F.array(column)).alias(name))
+
+
 def shingle_hashes(tokens: Column, size: int) -> Column:
-    """Distinct hashes of each run of `size` words; of all words together if there are fewer; none for none.
+    """The hash of each run of `size` words, in order, repeats included; of all words together if there are fewer; none for none.
 
     A shingle's hash is XXH64 over the XXH64 of its words, all in the JVM.
     """
-    hashed = F.transform(tokens, lambda w: F.xxhash64(w))
-    whole = F.array(F.aggregate(hashed, F.lit(0).cast("long"), lambda a, h: F.xxhash64(a, h)))
 
     def runs(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - size)
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)])))
+        whole = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+        return F.when(F.size(h) >= size, each).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<long>"))
 
-    none = F.array().cast("array<long>")
-    return F.when(F.size(hashed) >= size, runs(hashed)).when(F.size(hashed) > 0, whole).otherwise(none)
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
