@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir (one is set only where the session has none)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
