@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import saved, small_batches, texts
+from streakframe.llm.common import saved, small_batches
 from streakframe.llm.tokens import encoder
 
 SIZE = 2048
@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE) -> DataF
         encode = encoder(tokenizer)
         for b in batches:
             owner, number, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(texts(b)):
-                ids = np.append(encode.ids(text), np.uint32(end)).astype("<u4")
+            for k, own in enumerate(encode.ids(b.column("text"))):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 first = len(ids) % size or size
                 for j, at in enumerate([0, *range(first, len(ids), size)]):
                     part = ids[at : first if at == 0 else at + size]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import map_file, new_folder, open_store, small_batches, texts
+from streakframe.llm.common import map_file, new_folder, open_store, small_batches
 from streakframe.llm.tokens import encoder
 
 LENGTH = 2048
@@ -125,8 +125,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, folder
             if writer is None:
                 writer = Writer(f"{folder}/{name}", encode.tokenizer.get_vocab_size(), length)
             place, count = [], []
-            for text in texts(b):
-                ids = np.append(encode.ids(text), np.uint32(end))
+            for own in encode.ids(b.column("text")):
+                ids = np.append(own, np.uint32(end))
                 place.append(writer.add(ids))
                 count.append(len(ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array([name] * len(count)), pa.array(place, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "part", "file", "place", "n_tokens"])
