@@ -729,4 +729,5 @@ def index_patterns(spark, sf_dir):
 def laue_source_lines(spark, sf_dir):
     xtals = crystals(spark).where("index = 0")
     rlp = indexing.hkl_range(indexing.hkl_in_ball(spark, xtals, 0.3), xtals, [0])
-    return rounded(indexing.source_lines(rlp, LENS), "kx", "ky", "kz", "kout_x", "kout_y", "kout_z")
+    wide = indexing.Lens((0.0, 0.0, -0.1), (-0.02, 0.02, -0.02, 0.02))
+    return rounded(indexing.source_lines(rlp, wide), "kx", "ky", "kz", "kout_x", "kout_y", "kout_z")
