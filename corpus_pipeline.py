@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe.llm import decontam, packing, quality, simhash, toxicity
-from streakframe.llm.common import new_folder, remainder
+from streakframe.llm.common import fresh, new_folder, remainder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(spark, docs, labels, "quality", remainder("doc_id", 5) != 0)
-    return quality.score(docs, model, docs.columns).where("score >= 0.3").select(docs.columns)
+    name = fresh("score", docs.columns)
+    return quality.score(docs, model, docs.columns, name).where(F.col(name) >= 0.3).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(spark, docs, labels, "toxic", remainder("doc_id", 3) != 1)
-    return toxicity.score(docs, model, docs.columns).where("score < 0.7").select(docs.columns)
+    name = fresh("score", docs.columns)
+    return toxicity.score(docs, model, docs.columns, name).where(F.col(name) < 0.7).select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,13 @@ def map_file(uri: str) -> pa.Buffer:
         return source.read_buffer()
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string")) % n

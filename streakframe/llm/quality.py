@@ -144,12 +144,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(measured, "y string, x binary")
     table = found.limit(max_rows).toArrow()
     y = np.array([float(v) for v in table.column("y").to_pylist()])
-    x = np.array([np.frombuffer(v, np.float32) for v in table.column("x").to_pylist()]).reshape(len(y), -1)
-    return fit(x, y) if len(y) else fit(np.zeros((0, 1), np.float32), y)
+    width = statistics([b""]).shape[1]
+    return fit(np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), width), y)
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (else doc_id) and `score`, the chance of label 1, for every row of docs."""
+def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of `keep` (else doc_id) and `name`, the chance of label 1, for every row of docs."""
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None) -> DataF
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             value = pa.array(model.score(statistics(raw(b))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), value], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), value], [*keep, name])
 
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*keep).withColumn(name, F.lit(0.0)).schema
     return picked.mapInArrow(scored, schema)

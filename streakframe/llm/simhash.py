@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import raw, saved, small_batches
+from streakframe.llm.common import fresh, raw, saved, small_batches
 from streakframe.llm.components import components
 
 SEED = 42
@@ -224,5 +224,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, size: int = 4) -> DataFrame:
     """The documents without all but the smallest id of each group; rows equal in id and text count as one document."""
     gone = groups(spark, docs, size).where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    mark = "_text_hash"
+    mark = fresh("_text_hash", docs.columns)
     return left.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)

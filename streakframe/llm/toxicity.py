@@ -141,7 +141,7 @@ def twin(found: set[bytes]) -> set[bytes]:
     return {_TWIN.get(w, w) for w in found} if found & _TWIN.keys() else set()
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 12_000) -> Linear:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 6_000) -> Linear:
     """Fits on at most max_rows labelled documents among those that `learn` (a condition on doc_id) admits."""
     small_batches(spark)
     picked = sampled(labels, label, learn, max_rows)
@@ -159,14 +159,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
     return fit(x, other, y)
 
 
-def score(docs: DataFrame, model: Linear, keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (else doc_id) and `score`, the chance of being toxic, for every row of docs."""
+def score(docs: DataFrame, model: Linear, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of `keep` (else doc_id) and `name`, the chance of being toxic, for every row of docs."""
     small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(model.score(texts(b)), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(model.score(texts(b)), pa.float64())], [*keep, name])
 
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*keep).withColumn(name, F.lit(0.0)).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scored, schema)
