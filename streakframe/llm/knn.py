@@ -80,7 +80,8 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
                 heap = heaps[first + j]
                 bound = min(limit[j], (-heap[0][0]) ** 2 * (1 + 1e-12) if len(heap) >= k else np.inf)
                 kept = np.flatnonzero((square[j] - error[j] <= bound) & np.isfinite(square[j]))
-                distance = np.sqrt(((part[kept] - queries[first + j]) ** 2).sum(axis=1))
+                # components are added in their order, as a plain loop would
+                distance = np.sqrt(((part[kept] - queries[first + j]) ** 2).cumsum(axis=1)[:, -1])
                 for d, i in zip(distance.tolist(), own[kept].tolist(), strict=True):
                     if len(heap) < k:
                         heappush(heap, (-d, -i))
