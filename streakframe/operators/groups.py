@@ -181,3 +181,26 @@ def windows_of(spark: SparkSession, frames: int, size: int, spacing: int) -> Dat
     starts = F.explode(F.sequence(F.lit(0), F.lit(max(0, frames - size)), F.lit(spacing))).alias("start")
     rows = spark.range(1).select(starts).select((F.col("start") / spacing).cast("long").alias("window"), F.explode(F.sequence("start", F.col("start") + size - 1)).alias("frame"))
     return rows.where(F.col("frame") < frames)
+
+
+def consecutive(df: DataFrame, order: list[str], ends: dict[str, str], key: str = KEY) -> DataFrame:
+    """Each row with the next row's columns of its group, under the names given; null in the last."""
+    after = Window.partitionBy(key).orderBy(*order)
+    return df.withColumns({new: F.lead(old).over(after) for old, new in ends.items()})
+
+
+def ranking(df: DataFrame, order: list[Column | str], key: str = KEY) -> DataFrame:
+    """Adds `rank` within each group, from 0."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+
+
+def positional_zip(one: DataFrame, one_order: list[str], other: DataFrame, other_order: list[str]) -> DataFrame:
+    """Rows of two tables side by side by their place in order; a single row goes with every one. Other lengths must agree."""
+    n, m = one.count(), other.count()
+    if n != m and 1 not in (n, m):
+        raise ValueError(f"{n} rows against {m}")
+    if n != m:
+        longer, single = (other, one) if n == 1 else (one, other)
+        order = other_order if n == 1 else one_order
+        return running(longer, order, F.lit(1), "position").join(F.broadcast(single), how="cross")
+    return running(one, one_order, F.lit(1), "position").join(running(other, other_order, F.lit(1), "position"), "position")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakframe.kernels import regions as kernel
+from streakframe.kernels import streaks as streak_kernel
 from streakframe.kernels.structure import Structure
 from streakframe.session import ship
 
@@ -179,3 +180,24 @@ def to_streaks(measured: DataFrame) -> DataFrame:
     """(index, module_id, x_0, y_0, x_1, y_1): lines of regions, at the module nearest the centroid."""
     lines = line_fit(measured).join(measured.select(*REGION, F.rint("cz").cast("int").alias("module_id")), list(REGION))
     return lines.select(F.col("frame").alias("index"), "module_id", "x_0", "y_0", "x_1", "y_1")
+
+
+def peaks(blocks: DataFrame, radius: int, vmin: float, structure: Structure | None = None, npts: int = 1) -> DataFrame:
+    """(frame, module, by, bx, ss, fs, value, rank): the brightest local maximum of each bin, ranked within the frame from 1."""
+    ship(blocks.sparkSession)
+    near = (structure or Structure((1, 1), 1)).expand_dims(3)
+    rows = blocks.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("module", "n_ss", "n_fs", "pixels"))).alias("m"))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [pd.DataFrame({c: [] for c in ("frame", "module", "by", "bx", "ss", "fs", "value", "rank")})]
+            for frame, modules in zip(batch.frame, batch.m, strict=True):
+                image = np.stack([np.asarray(m["pixels"]).reshape(m["n_ss"], m["n_fs"]) for m in modules])
+                labeled = kernel.label(image >= vmin, near, npts) > 0
+                best = streak_kernel.peak_labels(streak_kernel.detect_peaks(image, labeled, radius, vmin), image, radius)
+                z, y, x = np.unravel_index(np.array(best.at, int), image.shape)
+                names = np.array([m["module"] for m in modules])
+                parts.append(pd.DataFrame({"frame": frame, "module": names[z], "by": y // radius, "bx": x // radius, "ss": y, "fs": x, "value": image[z, y, x], "rank": np.arange(1, len(z) + 1)}))
+            yield pd.concat(parts)
+
+    return rows.mapInPandas(found, "frame long, module int, by int, bx int, ss int, fs int, value double, rank int")

@@ -346,6 +346,15 @@ def merge_regions(spark, sf_dir):
     return both.groupBy("frame", "ss", "fs").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"{BASE}, n AS (SELECT a.frame, a.ss, a.fs, a.value, count(*) AS k FROM snr a JOIN snr b ON a.frame = b.frame AND abs(a.ss - b.ss) + abs(a.fs - b.fs) = 1 AND a.value >= b.value WHERE a.value > 1.0 GROUP BY ALL), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY frame, ss // 2, fs // 2 ORDER BY value DESC, fs, ss) AS j FROM n WHERE k = 4) "
+    "SELECT frame, 0 AS module, (ss // 2)::INT AS by, (fs // 2)::INT AS bx, ss, fs, (row_number() OVER (PARTITION BY frame ORDER BY value DESC, ss // 2, fs // 2))::INT AS rank FROM b WHERE j = 1"
+)
+def detect_peaks(spark, sf_dir):
+    return regions.peaks(to_block(signal(spark, sf_dir)), 2, 1.0).drop("value")
+
+
 # groups
 
 
@@ -501,6 +510,72 @@ def accumulate_lines(spark, sf_dir):
     return rounded(raster.accumulate_lines(strokes(spark, sf_dir), (12, 60), 1.0, "parabolic", "max", "sum"), "value").where("value > 0")
 
 
+@query(DRAW + "SELECT frame * 8 + term AS frame, ss, fs, 1.0::DOUBLE AS value FROM k GROUP BY ALL")
+def pattern_image(spark, sf_dir):
+    s = strokes(spark, sf_dir).select(F.col("frame").alias("index"), F.col("term").alias("module_id"), "x_0", "y_0", "x_1", "y_1")
+    return raster.pattern_image(s, (12, 60), 1.5, num_modules=8)
+
+
+@query(DRAW + f"SELECT px.frame, ss, fs, {s6('px.v + coalesce(d.s, 0)')} AS value FROM (SELECT s_suppkey AS frame, ss, fs, 1.0 AS v FROM supplier, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs) WHERE s_suppkey <= 3) px LEFT JOIN (SELECT frame, ss, fs, sum(bi) AS s FROM k GROUP BY ALL) d USING (frame, ss, fs)")
+def draw_onto(spark, sf_dir):
+    blank = table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ss"))
+    blank = blank.withColumn("fs", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("value", F.lit(1.0))
+    return rounded(raster.onto(blank, raster.draw_lines(strokes(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
+
+
+@query(f"WITH {SEG} SELECT index, row, part, x_0, y_0, lead(x_0) OVER w AS x_1, lead(y_0) OVER w AS y_1 FROM seg WINDOW w AS (PARTITION BY index ORDER BY row, part, x_0, y_0)")
+def path_segments(spark, sf_dir):
+    points = lines(spark, sf_dir).select("index", "row", "part", "x_0", "y_0")
+    return groups.consecutive(points, ["row", "part", "x_0", "y_0"], {"x_0": "x_1", "y_0": "y_1"})
+
+
+@query(f"WITH {SEG}, n AS (SELECT index, row, part, sum(x_1 - x_0) OVER (PARTITION BY index, row) AS s FROM seg) SELECT index, row, part, (row_number() OVER (PARTITION BY index ORDER BY s DESC, row, part) - 1)::INT AS rank FROM n")
+def streak_ranking(spark, sf_dir):
+    total = F.sum(F.col("x_1") - F.col("x_0")).over(groups.Window.partitionBy("index", "row"))
+    rows = lines(spark, sf_dir).withColumn("s", total).select("index", "row", "part", "s")
+    return groups.ranking(rows, [F.desc("s"), "row", "part"]).drop("s")
+
+
+@query("WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier WHERE s_suppkey < 25) SELECT p AS position, n_name, s_name FROM a JOIN b USING (p)")
+def positional_zip(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select("n_name")
+    b = table(spark, sf_dir, "supplier").where("s_suppkey < 25").select("s_suppkey", "s_name")
+    return groups.positional_zip(a, ["n_name"], b, ["s_suppkey"]).select("position", "n_name", "s_name")
+
+
+@query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 AND frame < 50 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
+def project_background(spark, sf_dir):
+    fields = label_fields(spark, sf_dir)
+    good = fields.where("wf < 3").withColumn("comp", F.col("wf").cast("int"))
+    flat = fields.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
+    return rounded(stats.project(stats.lsq(frames(spark, sf_dir).where("frame < 50"), good), good, flat), "value")
+
+
+@query(f"WITH {PX} SELECT module, ss, fs, median(value) AS flatfield, sqrt(median(value)) AS std FROM px GROUP BY ALL")
+def background_median_poisson(spark, sf_dir):
+    return stats.background(frames(spark, sf_dir), "median-poisson")
+
+
+@query("SELECT l_suppkey AS target, arg_min(row, (l_quantity, row)) AS value FROM (SELECT *, l_orderkey * 10 + l_linenumber AS row FROM lineitem) GROUP BY 1")
+def scatter_argmin(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
+    return stats.scatter(li, ["target"], "argmin", "l_quantity")
+
+
+@query(f"WITH {PX}, s AS (SELECT a AS dss, b AS dfs FROM (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b) WHERE abs(a) + abs(b) <= 1) SELECT frame, (ss + dss)::INT AS ss, (fs + dfs)::INT AS fs, {s6('avg(value)')} AS value FROM px, s WHERE ss + dss BETWEEN 0 AND 7 AND fs + dfs BETWEEN 0 AND 7 GROUP BY ALL")
+def neighbour_mean(spark, sf_dir):
+    sent = regions.neighbours(frames(spark, sf_dir), CROSS, (1, 8, 8))
+    return rounded(sent.groupBy("frame", "ss", "fs").agg(F.avg("value").alias("value")), "value")
+
+
+@query("SELECT frame, n FROM (SELECT vec_id AS frame, label FROM embeddings) JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
+def block_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    whole = to_block(frames(spark, sf_dir)).where("n_ss = 8 and n_fs = 8 and size(pixels) = 64").select("frame")
+    sizes = e.groupBy("label").agg(F.count("*").alias("n"))
+    return whole.join(e.select(F.col("vec_id").alias("frame"), "label"), "frame").join(sizes, "label").select("frame", "n")
+
+
 # geometry: four panels of 4 x 4 pixels that stand for supplier coordinates
 
 _PANELS = [
