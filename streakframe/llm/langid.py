@@ -106,7 +106,7 @@ class Codes:
         return names, scores, unsure
 
 
-def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int = 100) -> Codes:
+def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int = 60) -> Codes:
     """Logistic bits over shares of n-grams, from whole texts and from short pieces of them."""
     names = sorted(set(languages))
     code = codewords(len(names))
@@ -152,7 +152,7 @@ def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int
     return Codes(names, code, weight, intercept, say * 3 / say.sum())
 
 
-def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 1_000, longest: int = 20_000) -> Codes:
+def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 800, longest: int = 20_000) -> Codes:
     """Fits on at most max_rows documents with a language among those that `learn` admits, by a hash of the id.
 
     longest: of a text to learn from, so many characters are enough (predicting always takes whole texts).
