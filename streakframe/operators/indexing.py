@@ -18,6 +18,7 @@ from streakframe.functions import vectors as v
 from streakframe.functions.stages import staged
 from streakframe.kernels import regions as kernel
 from streakframe.kernels.structure import Structure
+from streakframe.operators import groups
 from streakframe.operators.raster import accumulate_lines
 from streakframe.schema import AXES
 from streakframe.session import ship
@@ -422,3 +423,48 @@ def per_pattern(best: DataFrame, xtals: DataFrame) -> DataFrame:
     """(index, loss): mean over streaks; 0 for a crystal without any."""
     mean = best.groupBy("index").agg(F.avg("loss").alias("loss"))
     return xtals.select("index").distinct().join(mean, "index", "left").select("index", F.coalesce("loss", F.lit(0.0)).alias("loss"))
+
+
+def per_streak(losses: DataFrame) -> DataFrame:
+    """(index, streak_id, loss): the least loss of each streak over its triples."""
+    return losses.groupBy("index", "streak_id").agg(F.min("loss").alias("loss"))
+
+
+def sample_points(patterns: DataFrame, points: int, seed: int | None = None) -> DataFrame:
+    """(index, streak_id, point, x, y): points of each streak, evenly from end to end or at random places by a seed."""
+    rows = patterns.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    even = F.col("point") / F.lit(max(1, points - 1))
+    # a hash of the keys, so that a task that is run again draws the same
+    at = even if seed is None else F.pmod(F.xxhash64("index", "streak_id", "point", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    x, y = v.sample(v.columns("x_0", "y_0", "x_1", "y_1"), at)
+    return rows.select("index", "streak_id", "point", x.alias("x"), y.alias("y"))
+
+
+def init_miller(patterns: DataFrame, xtals: DataFrame, lens: Lens) -> DataFrame:
+    """(index, streak_id, h, k, l): whole triples about each streak that any of its streak's offsets reaches."""
+    q = patterns_to_q(patterns, lens)
+    ends = [q.select("index", "streak_id", *(F.col(f"q{n}_{c}").alias(f"q{c}") for c in "xyz")) for n in (1, 2)]
+    box = hkl_bounds(*ends, xtals)
+    out = box
+    for c in "hkl":
+        out = out.withColumn(c, F.explode(F.sequence(F.col(f"{c}_min"), F.col(f"{c}_max"))))
+    return out.select("index", "streak_id", "h", "k", "l").where("h <> 0 or k <> 0 or l <> 0")
+
+
+def incoming(points: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens) -> DataFrame:
+    """(index, streak_id, point, h, k, l, kin_x, kin_y, kin_z): k out of each point less the q of each of its streak's triples."""
+    kout = points_to_kout(F.col("x"), F.col("y"), lens)
+    out = points.select("index", "streak_id", "point", *(x.alias(f"kout_{c}") for x, c in zip(kout, "xyz", strict=True)))
+    pairs = out.join(hkl_to_q(miller, xtals), ["index", "streak_id"])
+    kin = [(F.col(f"kout_{c}") - F.col(f"q{c}")).alias(f"kin_{c}") for c in "xyz"]
+    return pairs.select("index", "streak_id", "point", "h", "k", "l", *kin)
+
+
+def model_loss(patterns: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens, points: int = 3, loss: str = "l1", seed: int | None = None) -> DataFrame:
+    """(index, streak_id, h, k, l, loss): how far each triple's incoming vectors miss the pupil."""
+    return line_loss(incoming(sample_points(patterns, points, seed), miller, xtals, lens), lens, loss)
+
+
+def keep_best_streaks(losses: DataFrame, quantile: float) -> DataFrame:
+    """The streaks of each pattern with the least losses, fewer than quantile times their number."""
+    return groups.keep_best(best_hkl(losses), "loss", quantile, tie="streak_id")

@@ -309,3 +309,48 @@ def test_region_errors_and_streak_table(spark):
     table = regions.to_streaks(regions.measures(found))
     assert table.columns == ["index", "module_id", "x_0", "y_0", "x_1", "y_1"] and table.count() == 2
     assert regions.ellipse_fit(regions.measures(found)).where("a > 0").count() == 2
+
+
+def test_true_triples_have_the_least_loss(spark):
+    """Streaks made from a crystal: the triple that made one misses the pupil least."""
+    wide = indexing.Lens((0.0, 0.0, -0.2), (-0.002, 0.002, -0.002, 0.002), -0.19)
+    basis = np.diag([0.12, 0.13, 0.15])
+    low, high = wide.kin_min[:2], wide.kin_max[:2]
+    rows = []
+    for k, hkl in enumerate([(1, 0, 0), (0, -1, 0), (1, 1, 0), (-2, 1, 0), (0, 2, 0)]):
+        q = np.array(hkl) @ basis
+        # k in on the Bragg plane, within the pupil where it can be
+        line = [kin for kin in (np.array([a, b, math.sqrt(1 - a * a - b * b)]) for a in np.linspace(low[0], high[0], 41) for b in np.linspace(low[1], high[1], 41)) if abs(kin @ q + q @ q / 2) < 0.02]
+        kin = np.array(line[len(line) // 2]) if line else np.array([0.0, 0.0, 1.0])
+        ends = []
+        for d in (-0.0005, 0.0005):
+            kout = kin + q + d * np.array([-q[1], q[0], 0]) / np.linalg.norm(q)
+            ends += [0.19 * kout[0] / kout[2], 0.19 * kout[1] / kout[2]]
+        rows.append((0, k, *map(float, ends)))
+    patterns = spark.createDataFrame(rows, "index long, streak_id long, x_0 double, y_0 double, x_1 double, y_1 double")
+    xtal = spark.createDataFrame([(0, *map(float, basis.ravel()))], "index long, " + ", ".join(f"{c} double" for c in AXES))
+    miller = indexing.init_miller(patterns, xtal, wide)
+    losses = indexing.model_loss(patterns, miller, xtal, wide, 3)
+    best = {r.streak_id: r for r in indexing.best_hkl(losses).collect()}
+    each = {r.streak_id: r.loss for r in indexing.per_streak(losses).collect()}
+    assert set(best) == set(each) == set(range(5)) and all(best[k].loss == each[k] for k in each)
+    assert (best[0].h, best[0].k) == (1, 0) and (best[1].h, best[1].k) == (0, -1)
+    assert indexing.keep_best_streaks(losses, 0.5).count() == 3
+    assert indexing.sample_points(patterns, 4, seed=1).collect() == indexing.sample_points(patterns, 4, seed=1).collect()
+
+
+def test_random_tables(spark):
+    from streakframe.functions import random
+
+    m = np.array([list(r)[1:] for r in random.rotations(spark, 5, 3).collect()]).reshape(5, 3, 3)
+    assert np.allclose(m @ m.transpose(0, 2, 1), np.eye(3)) and np.allclose(np.linalg.det(m), 1)
+    assert random.arrays(spark, 4, ["a", "b"], 1, "beta", a=2.0, b=3.0).where("a > 0 and a < 1").count() == 4
+    assert random.orientations(spark, np.eye(3).tolist(), 3, 2).count() == 3
+
+
+def test_positional_zip(spark):
+    a = spark.createDataFrame([(3,), (1,)], "x int")
+    one = spark.createDataFrame([("z",)], "y string")
+    assert sorted((r.position, r.x, r.y) for r in groups.positional_zip(a, ["x"], one, ["y"]).collect()) == [(0, 1, "z"), (1, 3, "z")]
+    with pytest.raises(ValueError):
+        groups.positional_zip(a, ["x"], a.union(a), ["x"])
