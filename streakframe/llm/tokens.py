@@ -29,7 +29,7 @@ _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 _ODD = f"^{_WHITE}|{_WHITE}$|{_WHITE} "
 #: Bytes of text that are worked on at once.
 _CHUNK = 4 << 20
-_PIECES, _WORDS = 1_500_000, 300_000
+_PIECES, _WORDS = 1_200_000, 200_000
 _open: dict[str, Encoder] = {}
 
 

@@ -33,7 +33,7 @@ IDENTITY = (
 )
 _TWIN = {w.encode(): group[(k + 1) % len(group)].encode() for group in IDENTITY for k, w in enumerate(group)}
 _SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_CACHE = 400_000
+_CACHE = 300_000
 
 
 def words_of(text: str) -> set[bytes]:
