@@ -87,10 +87,10 @@ def _fold(rows: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, n
     return row[ok], at[ok]
 
 
-def fit(x: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, keep: int = 4096, least: int = 3, l1: float = 1e-4, swap: float = 1.0, steps: int = 600) -> Linear:
+def fit(x: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, keep: int = 4096, least: int = 3, l1: float = 1e-4, swap: float = 1.0, steps: int = 600, power: float = 0.5) -> Linear:
     """Accelerated proximal gradient over the `keep` features that tell the classes apart best.
 
-    twins[i]: the features of text i with its identity terms swapped; empty if it names none.
+    power: 1 gives both labels the same weight in all, 0 every text. twins[i]: the features of text i with its identity terms swapped; empty if it names none.
     """
     n, ones = len(y), float(y.sum())
     prior = float(np.log((ones + 1) / (n - ones + 1)))
@@ -108,7 +108,7 @@ def fit(x: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, keep: int =
     named = [k for k, t in enumerate(twins) if len(t)]
     swapped_row, swapped_col = _fold([twins[k] for k in named], vocabulary)
     plain_row, plain_col = _fold([x[k] for k in named], vocabulary)
-    cost = np.where(y > 0, 0.5 * n / ones, 0.5 * n / (n - ones)) ** 0.5
+    cost = np.where(y > 0, 0.5 * n / ones, 0.5 * n / (n - ones)) ** power
     w, b, at, at_b, t = np.zeros(m), prior, np.zeros(m), prior, 1.0
     many = np.bincount(row, minlength=n).astype(float) + 1
     curve = 0.25 * np.bincount(col, (cost * many)[row], m) / n
