@@ -742,9 +742,9 @@ def loss_per_pattern(spark, sf_dir):
     return indexing.per_pattern(rows, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index")))
 
 
-@query("SELECT date_trunc('day', ts) AS start, count(*) AS events FROM events GROUP BY 1")
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS events FROM events GROUP BY 1")
 def hit_rate(spark, sf_dir):
-    return detect.hit_rate(table(spark, sf_dir, "events").select("ts")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return detect.hit_rate(table(spark, sf_dir, "events").select("ts")).withColumn("start", F.unix_timestamp("start"))
 
 
 # whole plans
