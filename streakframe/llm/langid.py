@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, product
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -106,27 +107,34 @@ class Codes:
         return names, scores, unsure
 
 
+def examples(text: str, pieces: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells and counts of the whole text and of short pieces at places that the text itself decides."""
+    if not _LETTER.search(text):
+        return []
+    draw, parts = np.random.default_rng(crc32(text.encode())), [text]
+    for _ in range(pieces):
+        length = int(draw.integers(4, 120))
+        start = int(draw.integers(0, max(1, len(text) - length)))
+        if _LETTER.search(text[start : start + length]):
+            parts.append(text[start : start + length])
+    return [np.unique(cells(t.lower().encode()), return_counts=True) for t in parts]
+
+
 def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int = 60) -> Codes:
-    """Logistic bits over shares of n-grams, from whole texts and from short pieces of them."""
+    """fit_counts on texts."""
+    found = [(e, name) for text, name in zip(documents, languages, strict=True) for e in examples(text, pieces)]
+    return fit_counts([e for e, _ in found], [name for _, name in found], steps)
+
+
+def fit_counts(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str], steps: int = 60) -> Codes:
+    """Logistic bits over shares of n-grams. rows: cells and counts of each example."""
     names = sorted(set(languages))
     code = codewords(len(names))
     bits = code.shape[1] if len(names) > 1 else 1
     weight, intercept = np.zeros((2 * _CELLS, bits), np.float32), np.zeros(bits)
     if len(names) < 2:
         return Codes(names, code, weight, intercept, np.ones(bits))
-    draw = np.random.default_rng(11)
-    rows, marks = [], []
-    for text, name in zip(documents, languages, strict=True):
-        if not _LETTER.search(text):
-            continue
-        parts = [text]
-        for _ in range(pieces):
-            length = int(draw.integers(4, 120))
-            start = int(draw.integers(0, max(1, len(text) - length)))
-            if _LETTER.search(text[start : start + length]):
-                parts.append(text[start : start + length])
-        rows += [np.unique(cells(t.lower().encode()), return_counts=True) for t in parts]
-        marks += [names.index(name)] * len(parts)
+    marks = [names.index(name) for name in languages]
     target = code[marks]
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     cell = np.concatenate([i for i, _ in rows])
@@ -152,16 +160,25 @@ def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int
     return Codes(names, code, weight, intercept, say * 3 / say.sum())
 
 
-def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 800, longest: int = 20_000) -> Codes:
+def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 800, pieces: int = 3) -> Codes:
     """Fits on at most max_rows documents with a language among those that `learn` admits, by a hash of the id.
 
-    longest: of a text to learn from, so many characters are enough (predicting always takes whole texts).
+    Executors count whole texts and pieces of them; the driver gets counts, whose size is bounded whatever a text's length.
     """
+    small_batches(spark)
     picked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn).select("doc_id", "lang")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
-    found = docs.select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "lang")
-    table = found.where("text is not null").limit(max_rows).toArrow()
-    return fit(table.column("text").to_pylist(), table.column("lang").to_pylist())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(name, *e) for text, name in zip(texts(b), b.column("lang").to_pylist(), strict=True) for e in examples(text, pieces)]
+            columns = [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k].astype(np.uint32).tobytes() for r in rows], pa.binary()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "counts"])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "lang")
+    table = found.mapInArrow(counted, "lang string, cells binary, counts binary").limit(max_rows * (pieces + 1)).toArrow()
+    rows = [tuple(np.frombuffer(x, np.uint32) for x in pair) for pair in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    return fit_counts(rows, table.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Codes, keep: list[str] | None = None) -> DataFrame:
