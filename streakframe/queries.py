@@ -611,10 +611,20 @@ def to_detector(spark, sf_dir):
     return geometry.to_detector(points, panels(spark), tolerance=0.5)
 
 
-@query()
+TO_STREAKS = (
+    f"WITH {MAP}, lo AS (SELECT min(x) AS lx, min(y) AS ly FROM mp), s AS (SELECT s_suppkey AS index, (s_suppkey % 7)::DOUBLE AS x_0, (s_suppkey % 5)::DOUBLE AS y_0, (s_suppkey % 6)::DOUBLE AS x_1, (s_suppkey % 8)::DOUBLE AS y_1 FROM supplier), "
+    "d AS (SELECT *, sqrt(power(y_0 - least(greatest(y_0, min_ss), max_ss + 1), 2) + power(x_0 - least(greatest(x_0, min_fs), max_fs + 1), 2)) AS d0, sqrt(power(y_1 - least(greatest(y_1, min_ss), max_ss + 1), 2) + power(x_1 - least(greatest(x_1, min_fs), max_fs + 1), 2)) AS d1 FROM s, p), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY d0 + d1, panel_id) AS k FROM d), "
+    "e AS (SELECT *, d0 <= d1 AS f, CASE WHEN d0 <= d1 THEN x_0 ELSE x_1 END AS nx, CASE WHEN d0 <= d1 THEN y_0 ELSE y_1 END AS ny, CASE WHEN d0 <= d1 THEN x_1 ELSE x_0 END AS ox, CASE WHEN d0 <= d1 THEN y_1 ELSE y_0 END AS oy FROM b WHERE k = 1), "
+    "g AS (SELECT index, f, (ny - min_ss) * ss_x + (nx - min_fs) * fs_x + corner_x + 0.5 - lx AS x, (ny - min_ss) * ss_y + (nx - min_fs) * fs_y + corner_y + 0.5 - ly AS y, (oy - ny) * ss_x + (ox - nx) * fs_x AS dx, (oy - ny) * ss_y + (ox - nx) * fs_y AS dy FROM e, lo) "
+    f"SELECT index, {s6('0.1 * CASE WHEN f THEN x ELSE x + dx END')} AS x_0, {s6('0.1 * CASE WHEN f THEN y ELSE y + dy END')} AS y_0, {s6('0.1 * CASE WHEN f THEN x + dx ELSE x END')} AS x_1, {s6('0.1 * CASE WHEN f THEN y + dy ELSE y END')} AS y_1 FROM g"
+)
+
+
+@query(TO_STREAKS)
 def streaks_to_detector(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("index"), F.lit(0).alias("module_id"), *((F.col("s_suppkey") % k).cast("double").alias(c) for c, k in (("x_0", 7), ("y_0", 5), ("x_1", 6), ("y_1", 8))))
-    return geometry.to_patterns(geometry.to_streaks(s, panels(spark)), 0.1)
+    return rounded(geometry.to_patterns(geometry.to_streaks(s, panels(spark)), 0.1), "x_0", "y_0", "x_1", "y_1")
 
 
 # vectors, rotations, crystals
@@ -789,9 +799,25 @@ def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("index", "streak_id", (x - 0.002 * F.sin(angle)).alias("x_0"), (y + 0.002 * F.cos(angle)).alias("y_0"), (x + 0.002 * F.sin(angle)).alias("x_1"), (y - 0.002 * F.cos(angle)).alias("y_1"))
 
 
-@query()
+SKY = (
+    "t AS (SELECT s_suppkey % 2 AS index, s_suppkey AS streak_id, s_suppkey * 2.399::DOUBLE AS an, 0.012::DOUBLE + s_suppkey * 0.0008::DOUBLE AS r FROM supplier WHERE s_suppkey <= 24), "
+    "sky AS (SELECT index, streak_id, r * cos(an) - 0.002 * sin(an) AS x_0, r * sin(an) + 0.002 * cos(an) AS y_0, r * cos(an) + 0.002 * sin(an) AS x_1, r * sin(an) - 0.002 * cos(an) AS y_1 FROM t)"
+)
+CAPS = (
+    f"WITH {SKY}, e AS (SELECT 0.0005 / sqrt(2 * 0.0005 * 0.0005 + 0.11 * 0.11) AS k), "
+    "m AS (SELECT *, (x_0 + x_1) / 2 AS mx, (y_0 + y_1) / 2 AS my, sqrt(x_0 * x_0 + y_0 * y_0 + 0.01) AS n0, sqrt(x_1 * x_1 + y_1 * y_1 + 0.01) AS n1 FROM sky, e), "
+    "o AS (SELECT *, sqrt(mx * mx + my * my + 0.01) AS nm FROM m), "
+    "q AS (SELECT index, streak_id, mx / nm AS kx, my / nm AS ky, 0.1 / nm AS kz, least(x_0 / n0, x_1 / n1) + k AS ax, greatest(x_0 / n0, x_1 / n1) - k AS bx, least(y_0 / n0, y_1 / n1) + k AS ay, greatest(y_0 / n0, y_1 / n1) - k AS uy FROM o), "
+    "c AS (SELECT *, unnest([ax, ax, bx, bx]) AS qx, unnest([ay, uy, ay, uy]) AS qy FROM q), "
+    "r AS (SELECT *, power(qx, 2) + power(qy, 2) + power(kz - sqrt(1 - power(kx - qx, 2) - power(ky - qy, 2)), 2) AS res FROM c) "
+    f"SELECT index, streak_id, {s6('kx')} AS kx, {s6('ky')} AS ky, {s6('kz')} AS kz, {s6('min(res)')} AS min_res, {s6('max(res)')} AS max_res FROM r GROUP BY index, streak_id, kx, ky, kz"
+)
+
+
+@query(CAPS)
 def uncertainty_caps(spark, sf_dir):
-    return rounded(indexing.patterns_to_uca(sky(spark, sf_dir), LENS), "kx", "ky", "kz", "min_res", "max_res")
+    caps = indexing.patterns_to_uca(sky(spark, sf_dir), LENS).select("index", "streak_id", "kx", "ky", "kz", "min_res", "max_res")
+    return rounded(caps, "kx", "ky", "kz", "min_res", "max_res")
 
 
 @query()
