@@ -536,11 +536,11 @@ def streak_ranking(spark, sf_dir):
     return groups.ranking(rows, [F.desc("s"), "row", "part"]).drop("s")
 
 
-@query("WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier WHERE s_suppkey < 25) SELECT p AS position, n_name, s_name FROM a JOIN b USING (p)")
+@query("WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation), b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer WHERE c_custkey < 25) SELECT p AS position, n_name, c_name FROM a JOIN b USING (p)")
 def positional_zip(spark, sf_dir):
     a = table(spark, sf_dir, "nation").select("n_name")
-    b = table(spark, sf_dir, "supplier").where("s_suppkey < 25").select("s_suppkey", "s_name")
-    return groups.positional_zip(a, ["n_name"], b, ["s_suppkey"]).select("position", "n_name", "s_name")
+    b = table(spark, sf_dir, "customer").where("c_custkey < 25").select("c_custkey", "c_name")
+    return groups.positional_zip(a, ["n_name"], b, ["c_custkey"]).select("position", "n_name", "c_name")
 
 
 @query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 AND frame < 50 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
