@@ -117,21 +117,33 @@ def measures(regions: DataFrame) -> DataFrame:
     return m.withColumns({"xx": spread("mxx", "cx", "cx"), "yy": spread("myy", "cy", "cy"), "xy": spread("mxy", "cx", "cy")})
 
 
+#: Covariances and differences of spread under this are rounding: regions along an axis have none.
+FLAT = 1e-9
+
+
+def _xy() -> Column:
+    return F.when(F.abs("xy") < FLAT, 0.0).otherwise(F.col("xy"))
+
+
+def _gap() -> Column:
+    gap = F.col("xx") - F.col("yy")
+    return F.when(F.abs(gap) < FLAT, 0.0).otherwise(gap)
+
+
 def _root() -> Column:
-    return F.sqrt(4 * F.col("xy") * F.col("xy") + F.pow(F.col("xx") - F.col("yy"), 2))
+    return F.sqrt(4 * _xy() * _xy() + F.pow(_gap(), 2))
 
 
 def ellipse_fit(measured: DataFrame) -> DataFrame:
     """(frame, region, a, b, theta): half widths at half maximum along the axes; theta by atan, 0 for equal spreads."""
     size = lambda sign: F.sqrt(F.greatest(2 * math.log(2) * (F.col("xx") + F.col("yy") + sign * _root()), F.lit(0.0)))
-    gap = F.col("xx") - F.col("yy")
-    tilt = F.when(gap == 0, F.when(F.col("xy") == 0, 0.0).otherwise(F.signum("xy") * (math.pi / 4))).otherwise(0.5 * F.atan(2 * F.col("xy") / gap))
+    tilt = F.when(_gap() == 0, F.signum(_xy()) * (math.pi / 4)).otherwise(0.5 * F.atan(2 * _xy() / _gap()))
     return measured.select(*REGION, size(1).alias("a"), size(-1).alias("b"), tilt.alias("theta"))
 
 
 def line_fit(measured: DataFrame) -> DataFrame:
     """(frame, region, x_0, y_0, x_1, y_1): the major axis, the end along it first."""
-    angle = 0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))
+    angle = 0.5 * F.atan2(2 * _xy(), _gap())
     half = F.sqrt(F.greatest(2 * math.log(2) * (F.col("xx") + F.col("yy") + _root()), F.lit(0.0)))
     dx, dy = half * F.cos(angle), half * F.sin(angle)
     return measured.select(*REGION, (F.col("cx") + dx).alias("x_0"), (F.col("cy") + dy).alias("y_0"), (F.col("cx") - dx).alias("x_1"), (F.col("cy") - dy).alias("y_1"))

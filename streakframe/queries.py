@@ -324,6 +324,37 @@ def p_values(spark, sf_dir):
     return rounded(p.where("k > 0").drop("min_support"), "log_p")
 
 
+# The three fits over every region. The SQL of those above leaves out regions along an axis, whose covariance is rounding; it is
+# 0 here, and so is a difference of spreads that is.
+FIT = "fit AS (SELECT * EXCLUDE (xy), CASE WHEN abs(xy) < 1e-9 THEN 0 ELSE xy END AS xy, CASE WHEN abs(xx - yy) < 1e-9 THEN 0 ELSE xx - yy END AS gap FROM cov), wide AS (SELECT *, sqrt(4 * xy * xy + gap * gap) AS d FROM fit)"
+AXIS = f"{FIT}, t AS (SELECT *, 0.5 * atan2(2 * xy, gap) AS th, sqrt(2 * ln(2) * (xx + yy + d)) AS hw FROM wide)"
+
+
+@query(f"{BASE}, {REG}, {MOM}, {AXIS} SELECT frame, region, {s6('cx + hw * cos(th)')} AS x_0, {s6('cy + hw * sin(th)')} AS y_0, {s6('cx - hw * cos(th)')} AS x_1, {s6('cy - hw * sin(th)')} AS y_1 FROM t")
+def line_fit_all(spark, sf_dir):
+    return rounded(regions.line_fit(regions.measures(bright_regions(spark, sf_dir))), "x_0", "y_0", "x_1", "y_1")
+
+
+@query(f"{BASE}, {REG}, {MOM}, {FIT} SELECT frame, region, {s6('sqrt(2 * ln(2) * (xx + yy + d))')} AS a, {s6('CASE WHEN gap = 0 THEN sign(xy) * pi() / 4 ELSE 0.5 * atan(2 * xy / gap) END')} AS theta FROM wide")
+def ellipse_fit_all(spark, sf_dir):
+    return rounded(regions.ellipse_fit(regions.measures(bright_regions(spark, sf_dir))).drop("b"), "a", "theta")
+
+
+@query(
+    f"{BASE}, {REG}, {MOM}, {AXIS}, "
+    "ln4 AS (SELECT frame, region, cx + hw * cos(th) AS x_0, cy + hw * sin(th) AS y_0, -2 * hw * cos(th) AS ax, -2 * hw * sin(th) AS ay FROM t), "
+    "d AS (SELECT frame, region, value, least(greatest(((fs - x_0) * ax + (ss - y_0) * ay) / (ax * ax + ay * ay), 0), 1) AS t, fs - x_0 AS dx, ss - y_0 AS dy, ax, ay FROM reg JOIN ln4 USING (frame, region)), "
+    "c AS (SELECT frame, region, count(*) FILTER (sqrt(power(dx - t * ax, 2) + power(dy - t * ay, 2)) < 0.5) AS n, count(*) FILTER (sqrt(power(dx - t * ax, 2) + power(dy - t * ay, 2)) < 0.5 AND value >= 1.5) AS k FROM d GROUP BY ALL), "
+    "p AS (SELECT frame, avg((value >= 1.5)::INT) AS p FROM snr GROUP BY frame), "
+    "q AS (SELECT c.*, nullif(p, 0) AS p, unnest(range(k, n + 1)) AS i FROM c JOIN p USING (frame)) "
+    f"SELECT frame, region, n, k, CASE WHEN k = 0 THEN 0 ELSE {s6('ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))')} END AS log_p FROM q GROUP BY frame, region, n, k"
+)
+def p_values_all(spark, sf_dir):
+    found = bright_regions(spark, sf_dir)
+    fits = regions.line_fit(regions.measures(found))
+    return rounded(regions.p_values(found, fits, regions.signal_share(signal(spark, sf_dir), 1.5), 1.5, 0.5).drop("min_support"), "log_p")
+
+
 @query(
     f"{BASE}, {ON}, sh AS (SELECT a AS dss, b AS dfs FROM (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b) WHERE abs(a) + abs(b) <= 1), "
     "one AS (SELECT DISTINCT frame, ss + dss AS ss, fs + dfs AS fs FROM lab, sh WHERE ss + dss BETWEEN 0 AND 7 AND fs + dfs BETWEEN 0 AND 7) "
