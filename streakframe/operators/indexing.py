@@ -400,18 +400,65 @@ def solutions(tilts: DataFrame, xtals: DataFrame) -> DataFrame:
 # refinement
 
 
+def on_bragg_plane(kin: v.Vec, q: v.Vec) -> v.Vec:
+    """The nearest vector k with k q = -|q|^2 / 2."""
+    t = v.safe_divide(v.dot(kin, q), v.dot(q, q)) + 0.5
+    return v.subtract(kin, v.scale(t, q))
+
+
+def onto_sphere(kin: v.Vec, q: v.Vec) -> v.Vec:
+    """A vector of that plane, moved within it, from -q / 2, by one step towards length 1."""
+    tau = v.add(kin, v.scale(0.5, q))
+    s = v.safe_divide(v.dot(kin, kin) - 1.0, v.dot(kin, tau) + v.norm(tau))
+    return v.subtract(kin, v.scale(s, tau))
+
+
+def source_line(kin: v.Vec, q: v.Vec) -> v.Vec:
+    """Incoming vectors moved to the source line of q."""
+    return onto_sphere(on_bragg_plane(kin, q), q)
+
+
 def in_shell(miller: DataFrame, uca: DataFrame) -> DataFrame:
     return candidates(miller, uca)
 
 
-def line_loss(pairs: DataFrame, lens: Lens, loss: str = "l1") -> DataFrame:
-    """pairs: (index, streak_id, h, k, l, kin_x, kin_y, kin_z): loss of incoming vectors against their projection on the pupil, averaged over a triple's points."""
-    kin = v.columns("kin_x", "kin_y", "kin_z")
-    gap = v.subtract(lens.project_to_pupil(kin), v.unit(kin))
+def keep_in_shell(miller: DataFrame, xtals: DataFrame, q_abs: float) -> DataFrame:
+    """The rows of streaks all of whose triples are shorter than q_abs."""
+    q = hkl_to_q(miller, xtals)
+    inside = q.groupBy("index", "streak_id").agg(F.bool_and(v.norm(v.columns("qx", "qy", "qz")) < q_abs).alias("_in"))
+    return miller.join(inside.where("_in").select("index", "streak_id"), ["index", "streak_id"], "left_semi")
+
+
+def _loss(pairs: DataFrame, kin: v.Vec, projected: v.Vec, loss: str) -> DataFrame:
+    """The raw vectors against what the projector makes of them, averaged over a triple's points."""
+    gap = v.subtract(projected, kin)
     total = sum((v.LOSSES[loss](g) for g in gap[1:]), v.LOSSES[loss](gap[0]))
     return pairs.groupBy("index", "streak_id", "h", "k", "l").agg(F.avg(total).alias("loss"))
 
 
+def line_projector(pairs: DataFrame, lens: Lens) -> tuple[DataFrame, v.Vec]:
+    """Source lines projected on the pupil, in stages: as one expression it is too long to plan."""
+    kin, q = v.columns("kin_x", "kin_y", "kin_z"), v.columns("qx", "qy", "qz")
+    pairs = staged(pairs, **dict(zip(("_tx", "_ty", "_tz"), on_bragg_plane(kin, q), strict=True)))
+    pairs = staged(pairs, **dict(zip(("_lx", "_ly", "_lz"), onto_sphere(v.columns("_tx", "_ty", "_tz"), q), strict=True)))
+    return pairs, lens.project_to_pupil(v.columns("_lx", "_ly", "_lz"))
+
+
+def pupil_loss(pairs: DataFrame, lens: Lens, loss: str = "l1") -> DataFrame:
+    """pairs: (index, streak_id, h, k, l, kin_x, kin_y, kin_z): loss of incoming vectors against their projection on the pupil."""
+    kin = v.columns("kin_x", "kin_y", "kin_z")
+    return _loss(pairs, kin, lens.project_to_pupil(kin), loss)
+
+
+def line_loss(pairs: DataFrame, lens: Lens, loss: str = "l1") -> DataFrame:
+    """As pupil_loss, with qx, qy and qz too: incoming vectors go to their triple's source line first, then to the pupil."""
+    pairs, projected = line_projector(pairs, lens)
+    return _loss(pairs, v.columns("kin_x", "kin_y", "kin_z"), projected, loss)
+
+
+PROJECTORS = {"pupil": pupil_loss, "line": line_loss}
+
+
 def best_hkl(losses: DataFrame) -> DataFrame:
     """(index, streak_id, h, k, l, loss): the triple of least loss of each streak; of equals the first in order."""
     hkl = F.struct("h", "k", "l")
@@ -452,17 +499,19 @@ def init_miller(patterns: DataFrame, xtals: DataFrame, lens: Lens) -> DataFrame:
 
 
 def incoming(points: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens) -> DataFrame:
-    """(index, streak_id, point, h, k, l, kin_x, kin_y, kin_z): k out of each point less the q of each of its streak's triples."""
+    """(index, streak_id, point, h, k, l, qx, qy, qz, kin_x, kin_y, kin_z): k out of each point less the q of each of its streak's triples."""
     kout = points_to_kout(F.col("x"), F.col("y"), lens)
     out = points.select("index", "streak_id", "point", *(x.alias(f"kout_{c}") for x, c in zip(kout, "xyz", strict=True)))
     pairs = out.join(hkl_to_q(miller, xtals), ["index", "streak_id"])
     kin = [(F.col(f"kout_{c}") - F.col(f"q{c}")).alias(f"kin_{c}") for c in "xyz"]
-    return pairs.select("index", "streak_id", "point", "h", "k", "l", *kin)
+    return pairs.select("index", "streak_id", "point", "h", "k", "l", "qx", "qy", "qz", *kin)
 
 
-def model_loss(patterns: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens, points: int = 3, loss: str = "l1", seed: int | None = None) -> DataFrame:
-    """(index, streak_id, h, k, l, loss): how far each triple's incoming vectors miss the pupil."""
-    return line_loss(incoming(sample_points(patterns, points, seed), miller, xtals, lens), lens, loss)
+def model_loss(patterns: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens, points: int = 3, loss: str = "l1", seed: int | None = None, projector: str = "pupil") -> DataFrame:
+    """(index, streak_id, h, k, l, loss): how far each triple's incoming vectors miss the pupil, or by `line` its source line in the pupil."""
+    if projector not in PROJECTORS:
+        raise ValueError(f"projector can't be {projector}")
+    return PROJECTORS[projector](incoming(sample_points(patterns, points, seed), miller, xtals, lens), lens, loss)
 
 
 def keep_best_streaks(losses: DataFrame, quantile: float) -> DataFrame:

@@ -5,8 +5,10 @@ import math
 import numpy as np
 import pytest
 
-from streakframe.operators import regions
+from streakframe.functions import vectors as v
+from streakframe.operators import indexing, regions
 from streakframe.queries import QUERIES
+from streakframe.schema import AXES
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +28,32 @@ def test_fits_along_an_axis_do_not_turn_with_rounding(spark, noise):
     lines = {r.region: (r.x_0, r.y_0, r.x_1, r.y_1) for r in regions.line_fit(measured).collect()}
     assert np.allclose(lines[1], (3 + half, 2, 3 - half, 2)) and np.allclose(lines[2], (3, 2 + half, 3, 2 - half)) and np.allclose(lines[3], (1 + round_, 1, 1 - round_, 1))
     assert all(abs(r.theta) < 1e-12 for r in regions.ellipse_fit(measured).collect())
+
+
+def test_losses_by_hand(spark):
+    lens = indexing.Lens((0.0, 0.0, -0.2), (-0.002, 0.002, -0.002, 0.002), -0.19)
+    # on the plane k_x = -0.3: (-0.3, 0.2, 0.9); from (0, 0.2, 0.9) on by s = -0.06 / (0.85 + sqrt(0.85))
+    kin, s = np.array([0.1, 0.2, 0.9]), -0.06 / (0.85 + math.sqrt(0.85))
+    rows = [(0, 0, 0, 1, 0, 0, 0.6, 0.0, 0.0, *map(float, kin))]
+    pairs = spark.createDataFrame(rows, "index long, streak_id long, point int, h int, k int, l int, qx double, qy double, qz double, kin_x double, kin_y double, kin_z double")
+    line = pairs.select(*(x.alias(c) for x, c in zip(indexing.source_line(v.columns("kin_x", "kin_y", "kin_z"), v.columns("qx", "qy", "qz")), "xyz", strict=True))).first()
+    assert np.allclose(tuple(line), (-0.3, 0.2 * (1 - s), 0.9 * (1 - s)))
+    edge = 0.002 / math.sqrt(2 * 0.002**2 + 0.2**2)
+    for f, by in ((indexing.pupil_loss, edge), (indexing.line_loss, -edge)):
+        target = np.array([by, edge, math.sqrt(1 - 2 * edge**2)])
+        assert np.isclose(f(pairs, lens).first().loss, np.abs(target - kin).sum()), f.__name__
+        assert np.isclose(f(pairs, lens, "l2").first().loss, ((target - kin) ** 2).sum()), f.__name__
+
+
+def test_model_loss_by_either_projector_and_streaks_in_the_shell(spark):
+    lens = indexing.Lens((0.0, 0.0, -0.2), (-0.002, 0.002, -0.002, 0.002), -0.19)
+    patterns = spark.createDataFrame([(0, 0, 0.02, 0.0, 0.02, 0.001), (0, 1, 0.0, 0.03, 0.001, 0.03)], "index long, streak_id long, x_0 double, y_0 double, x_1 double, y_1 double")
+    xtal = spark.createDataFrame([(0, *map(float, np.diag([0.12, 0.13, 0.15]).ravel()))], "index long, " + ", ".join(f"{c} double" for c in AXES))
+    miller = spark.createDataFrame([(0, 0, 1, 0, 0), (0, 0, 1, 1, 0), (0, 1, 0, 1, 0)], "index long, streak_id long, h int, k int, l int")
+    pupil, line = ({tuple(r)[:5]: r.loss for r in indexing.model_loss(patterns, miller, xtal, lens, projector=p).collect()} for p in ("pupil", "line"))
+    assert pupil.keys() == line.keys() and len(pupil) == 3 and pupil != line
+    with pytest.raises(ValueError):
+        indexing.model_loss(patterns, miller, xtal, lens, projector="plane")
+    # a streak with one triple beyond the shell is out with all of its triples
+    for q_abs, ids in ((0.15, [1]), (0.2, [0, 0, 1]), (0.1, [])):
+        assert sorted(r.streak_id for r in indexing.keep_in_shell(miller, xtal, q_abs).collect()) == ids
