@@ -515,7 +515,14 @@ def segment_intersections(spark, sf_dir):
 
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments within images of 12 x 60 pixels: frame by supplier, term by line number."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1")
+    return drawn_from(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1"))
+
+
+def every_stroke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawn_from(table(spark, sf_dir, "lineitem"))
+
+
+def drawn_from(li: DataFrame) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("frame"), F.col("l_linenumber").alias("term"), F.col("l_quantity").alias("x_0"), (F.col("l_discount") * 100).alias("y_0"), (F.col("l_quantity") + 1 + F.col("l_linenumber")).alias("x_1"), (F.col("l_tax") * 100).alias("y_1"), F.lit(1.5).alias("width"))
 
 
@@ -554,6 +561,38 @@ def draw_onto(spark, sf_dir):
     return rounded(raster.onto(blank, raster.draw_lines(strokes(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
 
 
+# The five rasters over every order and, for draw_onto, every supplier's frame. The SQL of those above takes 1 order in 50.
+DRAW_ALL = DRAW.replace(" WHERE l_orderkey % 50 = 1", "")
+
+
+@query(DRAW_ALL + f"SELECT frame, ss, fs, {s6('sum(2 * bi)')} AS value FROM k WHERE x < 0.999999 GROUP BY ALL HAVING {s6('sum(2 * bi)')} > 0")
+def draw_lines_all(spark, sf_dir):
+    return rounded(raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 2.0, "biweight", "sum"), "value").where("value > 0")
+
+
+@query(DRAW_ALL + f"SELECT frame, ss, fs, {s6('max(tri)')} AS value FROM k GROUP BY ALL HAVING {s6('max(tri)')} > 0")
+def draw_lines_max_all(spark, sf_dir):
+    return rounded(raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "triangular", "max"), "value").where("value > 0")
+
+
+@query(DRAW_ALL + f", m AS (SELECT frame, term, ss, fs, max(para) AS value FROM k GROUP BY ALL) SELECT frame, ss, fs, {s6('sum(value)')} AS value FROM m GROUP BY ALL HAVING {s6('sum(value)')} > 0")
+def accumulate_lines_all(spark, sf_dir):
+    return rounded(raster.accumulate_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "parabolic", "max", "sum"), "value").where("value > 0")
+
+
+@query(DRAW_ALL + "SELECT frame * 8 + term AS frame, ss, fs, 1.0::DOUBLE AS value FROM k GROUP BY ALL")
+def pattern_image_all(spark, sf_dir):
+    s = every_stroke(spark, sf_dir).select(F.col("frame").alias("index"), F.col("term").alias("module_id"), "x_0", "y_0", "x_1", "y_1")
+    return raster.pattern_image(s, (12, 60), 1.5, num_modules=8)
+
+
+@query(DRAW_ALL + f"SELECT px.frame, ss, fs, {s6('px.v + coalesce(d.s, 0)')} AS value FROM (SELECT s_suppkey AS frame, ss, fs, 1.0 AS v FROM supplier, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs)) px LEFT JOIN (SELECT frame, ss, fs, sum(bi) AS s FROM k GROUP BY ALL) d USING (frame, ss, fs)")
+def draw_onto_all(spark, sf_dir):
+    blank = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ss"))
+    blank = blank.withColumn("fs", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("value", F.lit(1.0))
+    return rounded(raster.onto(blank, raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
+
+
 @query(f"WITH {SEG} SELECT index, row, part, x_0, y_0, lead(x_0) OVER w AS x_1, lead(y_0) OVER w AS y_1 FROM seg WINDOW w AS (PARTITION BY index ORDER BY row, part, x_0, y_0)")
 def path_segments(spark, sf_dir):
     points = lines(spark, sf_dir).select("index", "row", "part", "x_0", "y_0")

@@ -57,3 +57,19 @@ def test_model_loss_by_either_projector_and_streaks_in_the_shell(spark):
     # a streak with one triple beyond the shell is out with all of its triples
     for q_abs, ids in ((0.15, [1]), (0.2, [0, 0, 1]), (0.1, [])):
         assert sorted(r.streak_id for r in indexing.keep_in_shell(miller, xtal, q_abs).collect()) == ids
+
+
+def test_every_segment_is_drawn_on_every_frame(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_suppkey = 4").toPandas()
+    want, (ss, fs) = np.zeros((12, 60)), np.mgrid[:12, :60]
+    for r in li.itertuples():
+        x, y, ax, ay = r.l_quantity, 100 * r.l_discount, 1 + r.l_linenumber, 100 * (r.l_tax - r.l_discount)
+        t = np.clip(((fs - x) * ax + (ss - y) * ay) / (ax * ax + ay * ay), 0, 1)
+        far = np.hypot(fs - x - t * ax, ss - y - t * ay) / 1.5
+        want += np.where(far <= 1, 15 / 16 * (1 - far**2) ** 2, 0)
+    for name, base, times in (("draw_lines_all", 0, 2), ("draw_onto_all", 1, 1)):
+        got = np.full((12, 60), float(base))
+        for r in QUERIES[name](spark, SF).where("frame = 4").collect():
+            got[r.ss, r.fs] = r.value
+        assert np.allclose(got, base + times * want, atol=2e-6), name
+    assert QUERIES["draw_onto_all"](spark, SF).count() == 720 * spark.read.parquet(f"{SF}/supplier.parquet").count()
