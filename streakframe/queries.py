@@ -863,8 +863,18 @@ LENS = indexing.Lens((0.0, 0.0, -0.11), (-0.0005, 0.0005, -0.0005, 0.0005), -0.1
 
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short streaks on a detector, two patterns of them."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 24").select((F.col("s_suppkey") % 2).alias("index"), F.col("s_suppkey").alias("streak_id"))
-    angle, far = F.col("streak_id") * 2.399, 0.012 + F.col("streak_id") * 0.0008
+    return streaks_of(table(spark, sf_dir, "supplier").where("s_suppkey <= 24"))
+
+
+def whole_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every supplier: two patterns for each 24 of them."""
+    return streaks_of(table(spark, sf_dir, "supplier"))
+
+
+def streaks_of(supplier: DataFrame) -> DataFrame:
+    block, place = F.expr("(s_suppkey - 1) div 24"), (F.col("s_suppkey") - 1) % 24 + 1
+    s = supplier.select((2 * block + F.col("s_suppkey") % 2).alias("index"), F.col("s_suppkey").alias("streak_id"), place.alias("place"))
+    angle, far = F.col("streak_id") * 2.399, 0.012 + F.col("place") * 0.0008
     x, y = far * F.cos(angle), far * F.sin(angle)
     return s.select("index", "streak_id", (x - 0.002 * F.sin(angle)).alias("x_0"), (y + 0.002 * F.cos(angle)).alias("y_0"), (x + 0.002 * F.sin(angle)).alias("x_1"), (y - 0.002 * F.cos(angle)).alias("y_1"))
 
@@ -890,9 +900,15 @@ def uncertainty_caps(spark, sf_dir):
     return rounded(caps, "kx", "ky", "kz", "min_res", "max_res")
 
 
+@query(CAPS.replace("s_suppkey % 2 AS index", "2 * ((s_suppkey - 1) // 24) + s_suppkey % 2 AS index").replace("s_suppkey * 0.0008::DOUBLE", "((s_suppkey - 1) % 24 + 1) * 0.0008::DOUBLE").replace(" WHERE s_suppkey <= 24", ""))
+def uncertainty_caps_all(spark, sf_dir):
+    caps = indexing.patterns_to_uca(whole_sky(spark, sf_dir), LENS).select("index", "streak_id", "kx", "ky", "kz", "min_res", "max_res")
+    return rounded(caps, "kx", "ky", "kz", "min_res", "max_res")
+
+
 @query()
 def index_patterns(spark, sf_dir):
-    made = pipelines.index_patterns(sky(spark, sf_dir), crystals(spark).where("index = 0"), LENS, cfg.Indexing(shape=(21, 21, 21), width=1.5, threshold=0.6, n_max=5), num_points=40)
+    made = pipelines.index_patterns(whole_sky(spark, sf_dir), crystals(spark).where("index = 0"), LENS, cfg.Indexing(shape=(21, 21, 21), width=1.5, threshold=0.6, n_max=5), num_points=40)
     return rounded(made, *AXES)
 
 

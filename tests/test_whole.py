@@ -73,3 +73,10 @@ def test_every_segment_is_drawn_on_every_frame(spark):
             got[r.ss, r.fs] = r.value
         assert np.allclose(got, base + times * want, atol=2e-6), name
     assert QUERIES["draw_onto_all"](spark, SF).count() == 720 * spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
+def test_every_supplier_is_a_streak_and_patterns_grow_with_them(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    caps = QUERIES["uncertainty_caps_all"](spark, sf).toPandas()
+    assert len(caps) == spark.read.parquet(f"{sf}/supplier.parquet").count() == 100 and caps["index"].nunique() == 10
+    assert {r[0] for r in QUERIES["index_patterns"](spark, sf).select("index").distinct().collect()} == set(caps["index"])
