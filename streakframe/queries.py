@@ -621,6 +621,15 @@ def project_background(spark, sf_dir):
     return rounded(stats.project(stats.lsq(frames(spark, sf_dir).where("frame < 50"), good), good, flat), "value")
 
 
+@query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
+def project_background_all(spark, sf_dir):
+    """Of every frame, where project_background and its SQL take the first 50."""
+    fields = label_fields(spark, sf_dir)
+    good = fields.where("wf < 3").withColumn("comp", F.col("wf").cast("int"))
+    flat = fields.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
+    return rounded(stats.project(stats.lsq(frames(spark, sf_dir), good), good, flat), "value")
+
+
 @query(f"WITH {PX} SELECT module, ss, fs, median(value) AS flatfield, sqrt(median(value)) AS std FROM px GROUP BY ALL")
 def background_median_poisson(spark, sf_dir):
     return stats.background(frames(spark, sf_dir), "median-poisson")

@@ -80,3 +80,9 @@ def test_every_supplier_is_a_streak_and_patterns_grow_with_them(spark):
     caps = QUERIES["uncertainty_caps_all"](spark, sf).toPandas()
     assert len(caps) == spark.read.parquet(f"{sf}/supplier.parquet").count() == 100 and caps["index"].nunique() == 10
     assert {r[0] for r in QUERIES["index_patterns"](spark, sf).select("index").distinct().collect()} == set(caps["index"])
+
+
+def test_every_frame_has_its_background(spark):
+    frames = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    got = QUERIES["project_background_all"](spark, SF)
+    assert frames > 50 and got.count() == 64 * frames and got.select("frame").distinct().count() == frames
