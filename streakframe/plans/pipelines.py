@@ -44,17 +44,17 @@ def create_metadata(data: DataFrame, config: Metadata) -> DataFrame:
 def create_metalist(data: DataFrame, frames: int, n_frames: int, spacing: int, config: Metadata) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Whitefields of windows of frames, their common mask and std, and their principal components.
 
-    Returns (pixel_meta, whitefields, eigen_fields, eigen_values). Windows are few (frames / spacing); each is a stack of its own.
+    Returns (pixel_meta, whitefields, eigen_fields, eigen_values). Each window is a stack of its own: its modules are numbered
+    apart from the others', and one grouped pass goes over all windows.
     """
-    spark = data.sparkSession
-    windows = groups.windows_of(spark, frames, n_frames, spacing)
-    count = windows.agg(F.max("window")).first()[0] + 1
-    fields, metas = None, None
-    for k in range(count):
-        part = data.join(F.broadcast(windows.where(F.col("window") == k).select("frame")), "frame", "left_semi")
-        meta = create_metadata(part, config)
-        field = meta.select(F.lit(k).cast("long").alias("wf"), *PIXEL, F.col("flatfield").alias("value"))
-        fields, metas = (field, meta) if fields is None else (fields.unionByName(field), metas.unionByName(meta))
+    modules = data.agg(F.max("module")).first()[0] + 1
+    last = max(0, frames - n_frames) // spacing
+    low, high = F.greatest(F.ceil((F.col("frame") - n_frames + 1) / spacing), F.lit(0)), F.least(F.floor(F.col("frame") / spacing), F.lit(last))
+    held = data.where(F.col("frame").between(0, frames - 1) & (low <= high)).withColumn("wf", F.explode(F.sequence(low, high)))
+    stacks = held.withColumn("module", (F.col("wf") * modules + F.col("module")).cast("int")).drop("wf")
+    own = {"wf": F.floor(F.col("module") / modules), "module": F.col("module") % modules}
+    metas = create_metadata(stacks, config).withColumns(own)
+    fields = metas.select("wf", *PIXEL, F.col("flatfield").alias("value"))
     merged = stats.accumulate(metas)
     flat = fields.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
     eigen, values = stats.pca(fields, flat)

@@ -863,7 +863,8 @@ def create_metadata(spark, sf_dir):
 @query()
 def create_metalist(spark, sf_dir):
     px = frames(spark, sf_dir)
-    _, _, _, ratios = pipelines.create_metalist(px, 100, 25, 25, cfg.Metadata(background=cfg.Background("mean-poisson")))
+    n = px.agg(F.max("frame")).first()[0] + 1
+    _, _, _, ratios = pipelines.create_metalist(px, n, 25, 25, cfg.Metadata(background=cfg.Background("mean-poisson")))
     return rounded(ratios, "ratio")
 
 

@@ -5,8 +5,10 @@ import math
 import numpy as np
 import pytest
 
+from streakframe import config as cfg
 from streakframe.functions import vectors as v
-from streakframe.operators import indexing, regions
+from streakframe.operators import groups, indexing, regions
+from streakframe.plans import pipelines
 from streakframe.queries import QUERIES
 from streakframe.schema import AXES
 
@@ -86,3 +88,21 @@ def test_every_frame_has_its_background(spark):
     frames = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     got = QUERIES["project_background_all"](spark, SF)
     assert frames > 50 and got.count() == 64 * frames and got.select("frame").distinct().count() == frames
+
+
+@pytest.mark.parametrize(("size", "spacing"), [(4, 4), (4, 3), (2, 5), (9, 4)])
+def test_whitefields_of_windows_are_those_of_each_window(spark, size, spacing):
+    rows = [(f, m, 0, x, float((7 * f + 3 * m + 5 * x * f) % 11 + 1)) for f in range(13) for m in range(2) for x in range(2)]
+    data = spark.createDataFrame(rows, "frame long, module int, ss int, fs int, value double")
+    config = cfg.Metadata(background=cfg.Background("mean-poisson"))
+    fields = {tuple(r)[:4]: r.value for r in pipelines.create_metalist(data, 13, size, spacing, config)[1].select("wf", "module", "ss", "fs", "value").collect()}
+    sets = {}
+    for r in groups.windows_of(spark, 13, size, spacing).collect():
+        sets.setdefault(r.window, set()).add(r.frame)
+    want = {(w, m, 0, x): np.mean([r[4] for r in rows if r[0] in fs and r[1] == m and r[3] == x]) for w, fs in sets.items() for m in range(2) for x in range(2)}
+    assert fields.keys() == want.keys() and all(np.isclose(fields[k], want[k]) for k in want)
+
+
+def test_metalist_takes_all_frames(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    assert QUERIES["create_metalist"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() // 25
