@@ -420,6 +420,13 @@ def get_index(spark, sf_dir):
     return groups.get_index(lines(spark, sf_dir).select("index", F.col("part").alias("row")), wanted)
 
 
+@query("SELECT o_orderkey AS query, l_partkey AS row FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def get_index_all(spark, sf_dir):
+    """Of every order, where get_index and its SQL take 1 in 7."""
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), F.col("o_orderkey").alias("index"))
+    return groups.get_index(lines(spark, sf_dir).select("index", F.col("part").alias("row")), wanted)
+
+
 @query("SELECT o_orderkey AS index, (SELECT count(*) FROM lineitem WHERE l_orderkey < o_orderkey) AS place FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def insert_index(spark, sf_dir):
     return groups.insert_index(lines(spark, sf_dir), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index")))
@@ -613,6 +620,14 @@ def positional_zip(spark, sf_dir):
     return groups.positional_zip(a, ["n_name"], b, ["c_custkey"]).select("position", "n_name", "c_name")
 
 
+@query("WITH a AS (SELECT c_custkey AS richer, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer), b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) SELECT position, richer, c_name FROM a JOIN b USING (position)")
+def positional_zip_all(spark, sf_dir):
+    """All customers by balance beside all by key, where positional_zip and its SQL take 25."""
+    c = table(spark, sf_dir, "customer")
+    a, b = c.select(F.col("c_custkey").alias("richer"), "c_acctbal"), c.select("c_custkey", "c_name")
+    return groups.positional_zip(a, ["c_acctbal", "richer"], b, ["c_custkey"]).select("position", "richer", "c_name")
+
+
 @query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 AND frame < 50 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
 def project_background(spark, sf_dir):
     fields = label_fields(spark, sf_dir)

@@ -106,3 +106,11 @@ def test_whitefields_of_windows_are_those_of_each_window(spark, size, spacing):
 def test_metalist_takes_all_frames(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     assert QUERIES["create_metalist"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() // 25
+
+
+def test_every_order_and_customer_is_looked_up(spark):
+    orders, lineitem, customer = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem", "customer"))
+    wanted = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "left_semi").count()
+    assert QUERIES["get_index_all"](spark, SF).count() == wanted
+    rows = QUERIES["positional_zip_all"](spark, SF).toPandas()
+    assert sorted(rows.position) == list(range(customer.count())) and rows.richer.is_unique and rows.c_name.is_unique
