@@ -76,7 +76,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     stride = max(len(s) for s in known.values())
     window = 2 * stride
     least = min(-(-len(s) * int(share * 100) // 100) for s in known.values())
-    bits = bits_for(max(1, least), window, 1e-4)
+    bits = bits_for(max(1, least), window, 1e-9)
     bands = {name: set(signature_of(s, bits)) for name, s in known.items()}
     every = ",".join(f"{h}L" for h in sorted(set().union(*bands.values())))
 

@@ -441,3 +441,9 @@ def test_packed_columns_come_back():
     count = np.arange(1000, dtype=np.uint32)
     a, b = lm._unpacked(lm._packed(key, count), 1000, np.uint64, np.uint32)
     assert (a == key).all() and (b == count).all()
+
+
+def test_license_scan_finds_a_notice_beside_a_lesser_hash(spark):
+    """The first words' hash shares 21 bits with that of the MIT notice, and is less."""
+    df = spark.createDataFrame([(1, "w1067378 and so it goes Released under the MIT License")], "doc_id long, text string")
+    assert [r.license for r in licenses.scan(spark, df).collect()] == ["MIT"]
