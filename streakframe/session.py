@@ -25,9 +25,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share, as spark.checkpoint.dir names it.
+
+    A session that names none gets a temporary one if it runs on one machine; on a cluster that is an error, as executors
+    would write to disks of their own.
+    """
+    root, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not root:
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir (one is set only where the session has none)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """df computed once and kept in the shared folder."""
+    root = shared_root(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
