@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streakframe import session
 from streakframe.session import ship
 
-WHITE = " \t\n\x0b\x0c\r"
+#: Bytes of text that a worker turns into Python objects at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
+    """The folder of spark.checkpoint.dir. Only a local session, which has no other machines, may do without one."""
+    return session.shared_root(spark)
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -39,10 +35,24 @@ def saved(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """This package on the executors, and Arrow batches of at most so many documents, so that a batch of long texts fits a worker."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bounded(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts come to `most` bytes or so, so that Python never holds a long batch as objects.
+
+    A single text is never cut, and is a slice of its own from `most` bytes on. Spark bounds its own batches by bytes.
+    """
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if stop > start:
+                yield b.slice(start, stop - start)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -77,6 +87,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def row_key(name: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """Two hashes that tell rows of different id or text apart, nulls included; equal rows share them."""
+    parts = [F.col(name).isNull(), F.col(name), F.col(text).isNull(), F.col(text)]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string")) % n
@@ -133,3 +149,19 @@ def sampled(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFram
     """At most `rows` labelled ids of those to learn from, in the order of a hash of the id: (doc_id, y)."""
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
     return picked.select("doc_id", F.col(label).cast("string").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+
+
+def examples(docs: DataFrame, picked: DataFrame, read: Callable[[list[bytes]], list], kind: str, rows: int, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(y, x): what `read` makes of the texts of the picked ids, `rows` at most, in an order that no task decides.
+
+    picked: (doc_id, y), bounded by `rows`, and so broadcast; joined by `on`. An id with several texts gives an example for each.
+    """
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(read(raw(b)), schema.types[1]), b.column("o")], ["y", "x", "o"])
+
+    order = F.struct(F.xxhash64("doc_id"), F.col("doc_id").cast("string"), F.xxhash64("text"), "y").cast("string").alias("o")
+    texts = docs.select(*on, "text").join(F.broadcast(picked), list(on)).select("text", "y", order)
+    schema = pa.schema([("y", pa.string()), ("x", pa.binary() if kind == "binary" else pa.list_(pa.binary()))])
+    return texts.mapInArrow(measured, f"y string, x {kind}, o string").orderBy("o").limit(rows).select("y", "x")

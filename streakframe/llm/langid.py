@@ -6,12 +6,11 @@ texts. A small gap to the runner-up flags the text as ambiguous.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text when no language could be
 learned; with one learned language every other text gets it with score 1. Ties go to the first language in sorted order.
-Rows that repeat are predicted each; extra columns are ignored.
+Rows that repeat are predicted each; an id may have several texts and languages; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, product
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import sigmoid, small_batches, texts
+from streakframe.llm.common import bounded, examples, sigmoid, texts
+from streakframe.session import ship
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _CELLS = 8192
 _CHUNK = 128
@@ -53,6 +52,11 @@ def codewords(languages: int) -> np.ndarray:
     return best
 
 
+def lettered(text: str) -> bool:
+    """Whether the text has a letter: a character of Unicode's categories L."""
+    return any(map(str.isalpha, text))
+
+
 def cells(text: bytes) -> np.ndarray:
     """The cell of each 2-gram and 3-gram of letters and gaps."""
     a = np.frombuffer(b" " + text.translate(_BLANK) + b" ", np.uint8).astype(np.uint32)
@@ -85,7 +89,7 @@ class Codes:
 
     def predict(self, documents: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in 0 to 1, and whether the two nearest codewords are about as near."""
-        known = np.array([bool(self.languages and _LETTER.search(t)) for t in documents], bool)
+        known = np.array([bool(self.languages) and lettered(t) for t in documents], bool)
         names, scores, unsure = [UNKNOWN] * len(documents), np.zeros(len(documents)), np.zeros(len(documents), bool)
         if not known.any():
             return names, scores, unsure
@@ -107,22 +111,22 @@ class Codes:
         return names, scores, unsure
 
 
-def examples(text: str, pieces: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def pieces_of(text: str, pieces: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Cells and counts of the whole text and of short pieces at places that the text itself decides."""
-    if not _LETTER.search(text):
+    if not lettered(text):
         return []
     draw, parts = np.random.default_rng(crc32(text.encode())), [text]
     for _ in range(pieces):
         length = int(draw.integers(4, 120))
         start = int(draw.integers(0, max(1, len(text) - length)))
-        if _LETTER.search(text[start : start + length]):
+        if lettered(text[start : start + length]):
             parts.append(text[start : start + length])
     return [np.unique(cells(t.lower().encode()), return_counts=True) for t in parts]
 
 
 def fit(documents: list[str], languages: list[str], pieces: int = 3, steps: int = 60) -> Codes:
     """fit_counts on texts."""
-    found = [(e, name) for text, name in zip(documents, languages, strict=True) for e in examples(text, pieces)]
+    found = [(e, name) for text, name in zip(documents, languages, strict=True) for e in pieces_of(text, pieces)]
     return fit_counts([e for e, _ in found], [name for _, name in found], steps)
 
 
@@ -165,29 +169,29 @@ def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 8
 
     Executors count whole texts and pieces of them; the driver gets counts, whose size is bounded whatever a text's length.
     """
-    small_batches(spark)
-    picked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn).select("doc_id", "lang")
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
+    ship(spark)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", "text", F.col("lang").alias("y"))
+    picked = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).distinct()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(name, *e) for text, name in zip(texts(b), b.column("lang").to_pylist(), strict=True) for e in examples(text, pieces)]
-            columns = [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k].astype(np.uint32).tobytes() for r in rows], pa.binary()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "counts"])
+    def counted(found: list[bytes]) -> list[list[bytes]]:
+        return [[x.astype(np.uint32).tobytes() for e in pieces_of(t.decode(), pieces) for x in e] for t in found]
 
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "lang")
-    table = found.mapInArrow(counted, "lang string, cells binary, counts binary").limit(max_rows * (pieces + 1)).toArrow()
-    rows = [tuple(np.frombuffer(x, np.uint32) for x in pair) for pair in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True)]
-    return fit_counts(rows, table.column("lang").to_pylist())
+    table = examples(known, picked, counted, "array<binary>", max_rows, ("doc_id", "y")).toArrow()
+    rows, languages = [], []
+    for name, flat in zip(table.column("y").to_pylist(), table.column("x").to_pylist(), strict=True):
+        parts = [np.frombuffer(x, np.uint32) for x in flat]
+        rows += zip(parts[::2], parts[1::2], strict=True)
+        languages += [name] * (len(parts) // 2)
+    return fit_counts(rows, languages)
 
 
 def predict(docs: DataFrame, model: Codes, keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` (else doc_id), `lang_pred`, `score` and `ambiguous` for every row of docs."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             names, scores, unsure = model.predict(texts(b))
             columns = [*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "ambiguous"])

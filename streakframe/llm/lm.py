@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import map_file, new_folder, raw, saved, small_batches, write_file
+from streakframe.llm.common import bounded, map_file, new_folder, raw, saved, write_file
+from streakframe.session import ship
 
 #: Their spaces keep these apart from any word.
 END, BEGIN = (xxhash.xxh64_intdigest(x) for x in (b" end", b" begin"))
@@ -123,14 +124,12 @@ def _counted(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         rows = _dealt("word", _spread(word >> _HIGH, shards), shards, word, count.astype(np.uint32))
         return _rows(rows + _dealt("pair", _spread(pair, shards), shards, pair, times.astype(np.uint32)))
 
-    for b in batches:
-        documents = raw(b)
-        for k in range(0, len(documents), 100):
-            key, before, _ = _stream(documents[k : k + 100])
-            held.append((key, before))
-            size += len(key)
-            if size >= _BUFFER:
-                yield flushed()
+    for b in bounded(batches, most=1 << 20):
+        key, before, _ = _stream(raw(b))
+        held.append((key, before))
+        size += len(key)
+        if size >= _BUFFER:
+            yield flushed()
     if size:
         yield flushed()
 
@@ -284,7 +283,7 @@ def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def train(spark: SparkSession, docs: DataFrame, folder: str | None = None, shard_bytes: int = 24 << 20, most: int = 4096) -> Model:
     """Counts every whole text of docs. shard_bytes: text for each shard, of which there are `most` at most."""
-    small_batches(spark)
+    ship(spark)
     folder = folder or new_folder(spark, "lm")
     picked = docs.select("text")
     volume = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -305,12 +304,12 @@ def train(spark: SparkSession, docs: DataFrame, folder: str | None = None, shard
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` (else doc_id), n_tokens, n_known, base_score and score (log10) for every row of docs."""
-    small_batches(docs.sparkSession, 500)
+    ship(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = model.score(raw(b)) if b.num_rows else [np.zeros(0)] * 4
+        for b in bounded(batches):
+            columns = model.score(raw(b))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*keep, "n_tokens", "n_known", "base_score", "score"])
 

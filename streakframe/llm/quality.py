@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import raw, sampled, sigmoid, small_batches
+from streakframe.llm.common import bounded, examples, raw, sampled, sigmoid
+from streakframe.session import ship
 
 MARKS = b"!$%&#*|.,;:?<>{}()[]=/@_\"'-"
 GROUPS = {
@@ -133,16 +134,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 20_000) -> Trees:
     """Fits on at most max_rows labelled documents among those that `learn` (a condition on doc_id) admits."""
-    small_batches(spark)
+    ship(spark)
     picked = sampled(labels, label, learn, max_rows)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [x.tobytes() for x in statistics(raw(b))]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(rows, pa.binary())], ["y", "x"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(measured, "y string, x binary")
-    table = found.limit(max_rows).toArrow()
+    table = examples(docs, picked, lambda found: [x.tobytes() for x in statistics(found)], "binary", max_rows).toArrow()
     y = np.array([float(v) for v in table.column("y").to_pylist()])
     width = statistics([b""]).shape[1]
     return fit(np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), width), y)
@@ -150,12 +144,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
 
 def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns of `keep` (else doc_id) and `name`, the chance of label 1, for every row of docs."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             value = pa.array(model.score(statistics(raw(b))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), value], [*keep, name])
 
