@@ -1,8 +1,11 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-A text's words are cut into windows that overlap by the longest template, so every notice lies whole in some window. Each
-window's MinHash bands are looked up among those of the templates, and a template that meets a window is verified by the
-share of its word shingles that the window holds. Everything is a DataFrame expression; the templates are constants.
+A text's words are cut into windows that overlap by the longest template, so every notice lies whole in some window. Templates
+are partitioned by size, and a window has MinHash bands for each partition, so many that a notice meets its template with all
+but a stated chance: the larger a partition's templates, the fewer bands (`minhash.py`). Templates of a few shingles (eight at
+most, some of just one) are an exact class: bands would keep nearly all of a window's shingles, so all are looked up. A
+template that meets a window is verified by the share of its word shingles that the window holds. Everything is a DataFrame
+expression; the templates are constants.
 
 Defined cases: null, empty and blank texts give no rows; a text shorter than a shingle is one shingle; documents with equal
 ids are one document; a notice in several windows counts in the best; extra columns are ignored.
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe.llm.common import once, shingle_hashes, words
-from streakframe.llm.minhash import bits_for, signature, signature_of
+from streakframe.llm.minhash import meeting, nested_signatures, size_classes
 
 SIZE = 5
 SHARE = 0.8
@@ -67,26 +70,25 @@ def template_shingles(spark: SparkSession, templates: dict[str, str], size: int)
     return {r.license: sorted(set(r.s)) for r in rows.select("license", shingle_hashes(words(_plain(F.col("text"))), size).alias("s")).collect()}
 
 
-def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, size: int = SIZE, share: float = SHARE) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, size: int = SIZE, share: float = SHARE, chance: float = 1e-6) -> DataFrame:
     """(doc_id, license, n_shingles, matched, containment, window): each template with at least `share` of its shingles in one window.
 
-    window: the first word of the best window, the earliest of equals.
+    window: the first word of the best window, the earliest of equals. chance: a notice of the least wanted share is missed with
+    this chance at most; a whole one far less often, and one of an exact class never.
     """
     known = template_shingles(spark, templates or TEMPLATES, size)
     stride = max(len(s) for s in known.values())
     window = 2 * stride
-    least = min(-(-len(s) * int(share * 100) // 100) for s in known.values())
-    bits = bits_for(max(1, least), window, 1e-9)
-    bands = {name: set(signature_of(s, bits)) for name, s in known.items()}
-    every = ",".join(f"{h}L" for h in sorted(set().union(*bands.values())))
+    classes = size_classes([len(s) for s in known.values()], share, chance)
+    by_class = {c: {h for s in known.values() if c.low < len(s) <= c.high for h in s} for c in classes}
 
     hashed = once(docs.where(F.col("text").isNotNull()), ["doc_id"], s=shingle_hashes(words(_plain(F.col("text"))), size)).where(F.size("s") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("s") - stride - 1, F.lit(0)), F.lit(stride))
-    windows = hashed.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("s", i + 1, F.lit(window)).alias("s")))).alias("x"))
+    windows = hashed.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.sort_array(F.slice("s", i + 1, F.lit(window))).alias("s")))).alias("x"))
     windows = windows.select("doc_id", F.col("x.at").alias("window"), F.col("x.s").alias("s"))
-    bands_of = once(windows, ["doc_id", "window", "s"], sig=signature(F.col("s"), bits))
-    met = once(bands_of, ["doc_id", "window", "s"], met=F.expr(f"filter(sig, h -> h in ({every}))")).where(F.size("met") > 0)
-    meets = {name: F.expr(f"exists(met, h -> h in ({','.join(f'{h}L' for h in sorted(b))}))") for name, b in bands.items()}
+    bands_of = once(windows, ["doc_id", "window", "s"], sig=nested_signatures(F.col("s"), F.size("s"), classes))
+    met = once(bands_of, ["doc_id", "window", "s"], met=meeting(classes, by_class)).where(F.size("met") > 0)
+    meets = {name: F.expr(f"exists(met, h -> h in ({','.join(f'{h}L' for h in s)}))") for name, s in known.items()}
     tests = [
         F.when(
             meets[name],

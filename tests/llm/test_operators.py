@@ -125,17 +125,43 @@ def test_one_document_of_each_group_stays(spark, odd):
 
 def test_signature_and_its_settings(spark):
     draw = np.random.default_rng(1)
-    hashes = draw.integers(-(1 << 62), 1 << 62, 300).tolist()
+    hashes = draw.integers(-(1 << 63), (1 << 63) - 1, 300).tolist()
     df = spark.createDataFrame([(hashes,)], "h array<long>")
-    for bits in (4, 9):
-        assert df.select(minhash.signature(F.col("h"), bits)).first()[0] == minhash.signature_of(hashes, bits)
-        assert df.select(minhash.signature(F.col("h"), F.lit(bits))).first()[0] == minhash.signature_of(hashes, bits)
-    assert minhash.miss(3, 100, minhash.bits_for(3, 100, 1e-6)) <= 1e-6 < minhash.miss(3, 100, minhash.bits_for(3, 100, 1e-6) - 1)
-    missed = 0
-    for _ in range(300):
-        shared, other = draw.integers(-(1 << 62), 1 << 62, 3).tolist(), draw.integers(-(1 << 62), 1 << 62, 60).tolist()
-        missed += not set(minhash.signature_of(shared, 7)) & set(minhash.signature_of(shared + other, 7))
-    assert missed / 300 <= minhash.miss(3, 60, 7) + 0.1
+    for bins in (16, 500, 70_001):
+        assert df.select(minhash.signature(F.sort_array("h"), F.lit(bins).cast("long"))).first()[0] == minhash.signature_of(hashes, bins)
+    # a class's bands are a part of those of smaller sets
+    classes = minhash.size_classes([12, 20, 60, 200], 0.8, 1e-5)
+    kept = df.select(minhash.nested_signatures(F.sort_array("h"), F.size("h"), classes).alias("s")).select("s.*").first()
+    assert len(kept) == 4 and all(set(kept[k + 1]) < set(kept[k]) for k in range(3)) and set(kept[0]) < set(hashes)
+    for c, found in zip(classes, kept, strict=True):
+        assert minhash.kept_share(c.bins) - 0.08 <= len(found) / 300 <= minhash.kept_share(c.bins * 1.2) + 0.08
+    for shared in (5, 20):
+        bins = minhash.bins_for(shared, 1e-2)
+        assert minhash.miss(shared, bins) <= 1e-2 < minhash.miss(shared, bins * 0.99)
+        missed = 0
+        for _ in range(500):
+            both, other = draw.integers(-(1 << 63), (1 << 63) - 1, shared).tolist(), draw.integers(-(1 << 63), (1 << 63) - 1, 400 - shared).tolist()
+            missed += not set(both) & set(minhash.signature_of(both + other, math.ceil(400 * bins)))
+        assert missed / 500 <= 0.03
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 12, 30, 100, 300])
+def test_bands_keep_less_of_a_text_the_longer_the_items_are(spark, size):
+    """Recall is measured at the least share that counts as a match."""
+    draw = np.random.default_rng(size)
+    new = lambda n: draw.integers(-(1 << 63), (1 << 63) - 1, n).tolist()
+    (c,) = minhash.size_classes([size], 0.8, 1e-5)
+    rows, found, kept = [], 0, 0.0
+    for _ in range(200):
+        item = new(size)
+        rows.append((item, item[: math.ceil(0.8 * size)] + new(int(draw.integers(size, 20 * size + 50)))))
+    if c.bins is None:
+        assert size <= 8
+        return
+    df = spark.createDataFrame(rows, "q array<long>, h array<long>")
+    sig = minhash.nested_signatures(F.sort_array("h"), F.size("h"), [c])
+    found, kept = df.select(F.avg(F.arrays_overlap("q", sig.getField("c0")).cast("int")), F.sum(F.size(sig.getField("c0"))) / F.sum(F.size("h"))).first()
+    assert found >= 0.99 and kept <= {12: 0.85, 30: 0.7, 100: 0.3, 300: 0.12}[size]
 
 
 def duck(tables):
