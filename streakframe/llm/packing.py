@@ -1,8 +1,8 @@
 """Best-fit packing by patterns: non-negative least squares over a histogram of lengths.
 
 Texts become pieces of at most `size` tokens; a histogram counts pieces of each length. Patterns are the ways to fill a
-sequence exactly with two or three pieces; their repeat counts are fitted to the histogram by non-negative least squares,
-rounded and taken while pieces last, and what is left is packed by best fit, longest first, over counts of equal pieces.
+sequence exactly with two or three pieces; their repeat counts are fitted to the histogram by non-negative least squares
+over a set of patterns that grows by those which would lower the gap most, rounded and taken while pieces last, and what is left is packed by best fit, longest first, over counts of equal pieces.
 All of this works on counts, so its cost depends on `size` alone. Pieces then get their place: the rank of a piece among
 those of its length is found in buckets (no task sees all pieces of a length), and a table of ranges says which sequence
 and offset a rank has. That table's size is bounded by the number of patterns, whatever the number of documents.
@@ -22,19 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import saved, small_batches
+from streakframe.llm.common import bounded, saved
 from streakframe.llm.tokens import encoder
+from streakframe.session import ship
 
 SIZE = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32); row tells apart documents of one id. Only the first piece is short."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for b in batches:
+        for b in bounded(batches):
             owner, number, start, length, crc = [], [], [], [], []
             for k, own in enumerate(encode.ids(b.column("text"))):
                 ids = np.append(own, np.uint32(end)).astype("<u4")
@@ -55,49 +56,83 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE) -> DataF
     return picked.mapInArrow(cut, schema)
 
 
-def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
-    """Every way to fill `size` with one, two or three of the lengths: rows of three, zero-padded, largest first."""
+def first_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Ways to fill `size` to begin with: alone, in pairs, and each length with two others as near to equal as there are."""
     there = np.zeros(size + 1, bool)
     there[lengths] = True
-    one = [(size, 0, 0)] if there[size] else []
+    one = np.array([(size, 0, 0)] if there[size] else [], np.int64).reshape(-1, 3)
     a = lengths[(lengths >= size / 2) & (lengths < size)]
     two = a[there[size - a]]
-    x, y = np.meshgrid(lengths, lengths, indexing="ij")
-    z = size - x - y
-    ok = (x >= y) & (y >= z) & (z > 0)
-    ok[ok] = there[z[ok]]
-    return np.concatenate(
-        [np.array(one, np.int64).reshape(-1, 3), np.stack([two, size - two, 0 * two], axis=1), np.stack([x[ok], y[ok], z[ok]], axis=1)]
-    )
+    found = []
+    for a in lengths[(lengths >= size / 3) & (lengths < size)].tolist():
+        c = np.arange(max(1, size - 2 * a), (size - a) // 2 + 1)
+        c = c[there[c] & there[size - a - c]]
+        if len(c):
+            found.append((a, size - a - c[-1], c[-1]))
+    return np.concatenate([one, np.stack([two, size - two, 0 * two], axis=1), np.array(found, np.int64).reshape(-1, 3)])
 
 
-def fit(histogram: np.ndarray, table: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 of the patterns that minimise the squared gap to the histogram, by accelerated projection.
+def priced(lengths: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """For each length as the largest part the exact pattern of two or three whose parts are wanted most, if they are at all.
 
-    A gap at a short length weighs less: what is left of short pieces fills holes elsewhere.
+    pull[l]: how much a further piece of length l would lower the squared gap; -inf for lengths that aren't there. The work for a
+    length and the memory are linear in the size.
+    """
+    size = len(pull) - 1
+    found = []
+    for a in lengths[(lengths >= size / 3) & (lengths < size)].tolist():
+        rest = size - a
+        c = np.arange(max(0, rest - a), rest // 2 + 1)
+        gain = np.where(c > 0, pull[c], 0) + pull[rest - c]
+        k = int(gain.argmax())
+        if gain[k] + pull[a] > 0:
+            found.append((a, rest - int(c[k]), int(c[k])))
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def fit(histogram: np.ndarray, lengths: np.ndarray, rounds: int = 12, steps: int = 40, last: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and their repeat counts x >= 0 that minimise the squared gap to the histogram, by column generation.
+
+    Each round solves the least squares over the patterns so far by accelerated projection and adds for each length the pattern
+    that would lower the gap most, so that neither time nor memory ever takes all patterns. A gap at a short length weighs less:
+    what is left of short pieces fills holes elsewhere.
     """
     size = len(histogram) - 1
     weight = 0.1 + np.arange(size + 1) / size
-    used = table > 0
     total = histogram.sum()
     want = histogram / max(1, total)
+    there = np.zeros(size + 1, bool)
+    there[lengths] = True
+    table = first_patterns(lengths, size)
+    x = np.zeros(len(table))
 
     def filled(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(table[:, k], np.where(used[:, k], x, 0), size + 1) for k in range(3))
-
-    def pulled(r: np.ndarray) -> np.ndarray:
-        return sum(np.where(used[:, k], r[table[:, k]], 0) for k in range(3))
-
-    # separable bound on the curvature: for each length, how many patterns share it
-    step = 1 / np.maximum(pulled(weight * filled(np.ones(len(table)))), 1e-9)
-    x = momentum = np.zeros(len(table))
-    t = 1.0
-    for _ in range(steps):
-        gap = weight * (filled(momentum) - want)
-        new = np.maximum(0, momentum - step * pulled(gap))
-        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        momentum, x, t = new + (t - 1) / t_next * (new - x), new, t_next
-    return x * total
+        out = np.bincount(table.ravel(), np.repeat(x, 3), size + 1)
+        out[0] = 0
+        return out
+
+    for k in range(rounds + 1):
+        used = table > 0
+        # separable bound on the curvature: for each length, how many patterns share it
+        bound = weight * filled(np.ones(len(table)))
+        step = 1 / np.maximum((bound[table] * used).sum(axis=1), 1e-9)
+        momentum, t = x, 1.0
+        for _ in range(steps if k < rounds else last):
+            gap = weight * (filled(momentum) - want)
+            gap[0] = 0
+            new = np.maximum(0, momentum - step * gap[table].sum(axis=1))
+            t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            momentum, x, t = new + (t - 1) / t_next * (new - x), new, t_next
+        if k == rounds:
+            break
+        pull = np.where(there, weight * (want - filled(x)), -np.inf)
+        more = priced(lengths, pull)
+        live = x > 0
+        live[: len(live)] |= k < 1
+        table, x = np.concatenate([table[live], more]), np.concatenate([x[live], np.zeros(len(more))])
+        table, first = np.unique(table, axis=0, return_index=True)
+        x = x[first]
+    return table, x * total
 
 
 @dataclass(frozen=True)
@@ -124,8 +159,7 @@ def plan(histogram: np.ndarray) -> Plan:
         left[length] -= sequences * each
 
     lengths = np.flatnonzero(left[1:]) + 1
-    table = patterns(lengths, size) if len(lengths) else np.zeros((0, 3), np.int64)
-    repeats = fit(left, table) if len(table) else np.zeros(0)
+    table, repeats = fit(left, lengths) if len(lengths) else (np.zeros((0, 3), np.int64), np.zeros(0))
     for k in np.argsort(-repeats, kind="stable"):
         parts, counts = np.unique(table[k][table[k] > 0], return_counts=True)
         n = min(int(np.ceil(repeats[k])), int((left[parts] // counts).min()))
