@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from streakframe import session
 from streakframe.session import ship
 
-#: Bytes of text that a worker turns into Python objects at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Spark sends to a worker, and of the text that the worker turns into Python objects at once.
+ARROW_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,6 +42,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ready(spark: SparkSession) -> None:
+    """This package on the executors, and Spark's Arrow batches at ARROW_BYTES at most, the one bound that all operators share.
+
+    Spark's own bound is 64 MB, of which a worker and the JVM each hold a few at once; a lesser bound of the session stays.
+    """
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > ARROW_BYTES or not spark.conf.get(name).rstrip("b").isdigit():
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def bounded(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts come to `most` bytes or so, so that Python never holds a long batch as objects.
 

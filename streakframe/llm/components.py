@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import drop_folder, new_folder
-from streakframe.session import ship
+from streakframe.llm.common import drop_folder, new_folder, ready
 
 #: Edges of one file of a round, about; and edges that a task joins to a forest at once.
 FILE_EDGES, CHUNK_EDGES = 500_000, 1_000_000
@@ -63,7 +62,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges are allowed, and null ends are left out; a node whose only edge is a loop has no row, and a
     table without edges gives none.
     """
-    ship(spark)
+    ready(spark)
     pairs, before, path = _round(spark, edges.where("a <> b").select("a", "b").mapInArrow(_forests, "a long, b long").distinct(), None)
     while before[0]:
         following, after, written = _round(spark, _small_star(_large_star(pairs)), before[0])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe.llm.common import fresh, once, row_key, saved, shingle_hashes, words
-from streakframe.llm.minhash import SizeClass, meeting, nested_signatures, size_classes
+from streakframe.llm.minhash import SizeClass, finest, meeting, nested_signatures, size_classes
 
 SIZE = 5
 SHARE = 0.8
@@ -34,12 +34,17 @@ def items_of(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return benchmark.where("item_id is not null").select("item_id", q.alias("q")).where(F.size("q") > 0).distinct()
 
 
-def sized(docs: DataFrame, classes: list[SizeClass], size: int = SIZE) -> DataFrame:
-    """(doc_id, k, k_2, s, sig): key, distinct shingle hashes in ascending order, and the bands for each class of items."""
+def shingled(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, k, k_2, s): key and distinct shingle hashes in ascending order of each document that has any."""
     k, k_2 = row_key()
     own = F.sort_array(F.array_distinct(shingle_hashes(words(F.col("text")), size)))
     found = once(docs.where(F.col("text").isNotNull()).select("doc_id", "text", k.alias("k"), k_2.alias("k_2")), ["doc_id", "k", "k_2"], s=own)
-    return once(found.where(F.size("s") > 0), ["doc_id", "k", "k_2", "s"], sig=nested_signatures(F.col("s"), F.size("s"), classes))
+    return found.where(F.size("s") > 0)
+
+
+def sized(known: DataFrame, classes: list[SizeClass]) -> DataFrame:
+    """shingled() with `sig`: the bands for each class of items."""
+    return once(known, ["doc_id", "k", "k_2", "s"], sig=nested_signatures(F.col("s"), F.size("s"), classes))
 
 
 def pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = SHARE, chance: float = 1e-5, constants: int = CONSTANTS) -> DataFrame:
@@ -51,7 +56,7 @@ def pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int
     n = F.size("q")
     sizes = [r.n for r in items.groupBy(F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)).agg(F.max(n).alias("n")).collect()]  # one of each power of two
     classes = size_classes(sizes, share, chance)
-    known = sized(docs, classes, size)
+    known = shingled(docs, size)
     total = items.agg(F.sum(F.size("q"))).first()[0] or 0
     found = _by_constants(known, items, classes) if total <= constants else _by_join(known, items, classes)
     return found.withColumn("containment", F.col("matched") / F.col("n_shingles")).where(F.col("containment") >= share)
@@ -70,7 +75,13 @@ def _by_constants(known: DataFrame, items: DataFrame, classes: list[SizeClass])
     by_class = {c: {h for r in rows if c.low < len(r.q) <= c.high for h in r.q} for c in classes}
     every = {h for hashes in by_class.values() for h in hashes}
     listed = ",".join(f"{h}L" for h in sorted(every)) or "null"
-    met = once(known, ["doc_id", "k", "k_2", "s"], met=meeting(classes, by_class)).where(F.size("met") > 0)
+    key, banded = ["doc_id", "k", "k_2", "s"], [c for c in classes if c.bins is not None]
+    # most documents meet nothing in the bands of the smallest items, and so nothing in any others
+    first = {c: by_class[c] if c.bins is None else {h for b in banded for h in by_class[b]} for c in finest(classes)}
+    least = banded[-1].bins if banded else None
+    some = once(known, key, sig=nested_signatures(F.col("s"), F.size("s"), finest(classes), least))
+    some = once(some, key, any=meeting(finest(classes), first)).where(F.size("any") > 0)
+    met = once(once(some, key, sig=nested_signatures(F.col("s"), F.size("s"), classes)), key, met=meeting(classes, by_class)).where(F.size("met") > 0)
     # of a document that met any item only the items' shingles go on
     held = once(met, ["doc_id", "k", "k_2", "met"], s=F.expr(f"filter(s, h -> h in ({listed}))"))
     of_hash = spark.createDataFrame([(r.item_id, h) for r in rows for h in r.q], f"item_id {kind}, hash long").groupBy("hash").agg(F.collect_set("item_id").alias("items"))
@@ -90,7 +101,7 @@ def _by_join(known: DataFrame, items: DataFrame, classes: list[SizeClass]) -> Da
         own.append(F.col("s") if c.bins is None else F.col(f"sig.c{k}"))
         k += c.bins is not None
     sides = F.posexplode(F.array(*own) if own else F.array().cast("array<array<long>>")).alias("class", "all")
-    each = known.select("k", "k_2", sides).select("k", "k_2", "class", F.explode("all").alias("hash"))
+    each = sized(known, classes).select("k", "k_2", sides).select("k", "k_2", "class", F.explode("all").alias("hash"))
     met = each.join(bands, ["class", "hash"]).select("k", "k_2", "item_id").distinct()
     rows = known.select("doc_id", "k", "k_2", "s").dropDuplicates(["k", "k_2"])
     tested = met.join(rows, ["k", "k_2"]).join(items, "item_id")

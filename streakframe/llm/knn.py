@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakframe.session import ship
+from streakframe.llm.common import ready
+
 
 #: Bytes of vectors (doubles) in a block of queries and of candidates.
 QUERY_BYTES, CANDIDATE_BYTES = 4 << 20, 16 << 20
@@ -103,7 +104,7 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
 
 def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10, name: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by Euclidean distance; is_query is a condition on `id`."""
-    ship(spark)
+    ready(spark)
     rows = usable(vectors, name, key)
     n, m, dim = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
     query_block, candidate_block = (max(1, size // (8 * (dim or 1))) for size in (QUERY_BYTES, CANDIDATE_BYTES))

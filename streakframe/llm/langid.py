@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, examples, sigmoid, texts
-from streakframe.session import ship
+from streakframe.llm.common import bounded, examples, ready, sigmoid, texts
 
 UNKNOWN = "und"
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -169,7 +168,7 @@ def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 8
 
     Executors count whole texts and pieces of them; the driver gets counts, whose size is bounded whatever a text's length.
     """
-    ship(spark)
+    ready(spark)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", "text", F.col("lang").alias("y"))
     picked = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).distinct()
 
@@ -187,7 +186,7 @@ def train(spark: SparkSession, docs: DataFrame, learn: Column, max_rows: int = 8
 
 def predict(docs: DataFrame, model: Codes, keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` (else doc_id), `lang_pred`, `score` and `ambiguous` for every row of docs."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe.llm.common import once, shingle_hashes, words
-from streakframe.llm.minhash import meeting, nested_signatures, size_classes
+from streakframe.llm.minhash import finest, meeting, nested_signatures, size_classes
 
 SIZE = 5
 SHARE = 0.8
@@ -86,8 +86,13 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     starts = F.sequence(F.lit(0), F.greatest(F.size("s") - stride - 1, F.lit(0)), F.lit(stride))
     windows = hashed.select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.sort_array(F.slice("s", i + 1, F.lit(window))).alias("s")))).alias("x"))
     windows = windows.select("doc_id", F.col("x.at").alias("window"), F.col("x.s").alias("s"))
-    bands_of = once(windows, ["doc_id", "window", "s"], sig=nested_signatures(F.col("s"), F.size("s"), classes))
-    met = once(bands_of, ["doc_id", "window", "s"], met=meeting(classes, by_class)).where(F.size("met") > 0)
+    key, banded = ["doc_id", "window", "s"], [c for c in classes if c.bins is not None]
+    # most windows meet nothing in the bands of the smallest templates, and so nothing in any others
+    first = {c: by_class[c] if c.bins is None else {h for b in banded for h in by_class[b]} for c in finest(classes)}
+    least = banded[-1].bins if banded else None
+    some = once(windows, key, sig=nested_signatures(F.col("s"), F.size("s"), finest(classes), least))
+    some = once(some, key, any=meeting(finest(classes), first)).where(F.size("any") > 0)
+    met = once(once(some, key, sig=nested_signatures(F.col("s"), F.size("s"), classes)), key, met=meeting(classes, by_class)).where(F.size("met") > 0)
     meets = {name: F.expr(f"exists(met, h -> h in ({','.join(f'{h}L' for h in s)}))") for name, s in known.items()}
     tests = [
         F.when(

@@ -27,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, map_file, new_folder, raw, saved, write_file
-from streakframe.session import ship
+from streakframe.llm.common import bounded, map_file, new_folder, raw, ready, saved, write_file
 
 #: Their spaces keep these apart from any word.
 END, BEGIN = (xxhash.xxh64_intdigest(x) for x in (b" end", b" begin"))
@@ -283,7 +282,7 @@ def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def train(spark: SparkSession, docs: DataFrame, folder: str | None = None, shard_bytes: int = 24 << 20, most: int = 4096) -> Model:
     """Counts every whole text of docs. shard_bytes: text for each shard, of which there are `most` at most."""
-    ship(spark)
+    ready(spark)
     folder = folder or new_folder(spark, "lm")
     picked = docs.select("text")
     volume = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -304,7 +303,7 @@ def train(spark: SparkSession, docs: DataFrame, folder: str | None = None, shard
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` (else doc_id), n_tokens, n_known, base_score and score (log10) for every row of docs."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,22 +81,30 @@ def signature(hashes: Column, bins: Column) -> Column:
     return let(F.struct(hashes.alias("all"), bins.alias("bins")), first)
 
 
-def nested_signatures(hashes: Column, size: Column, classes: list[SizeClass]) -> Column:
+def nested_signatures(hashes: Column, size: Column, classes: list[SizeClass], least: float | None = None) -> Column:
     """A struct of c0, c1, ...: for each class that has bands its signature of a set of so many hashes, given in ascending order.
 
-    The first class is that of the smallest sets, which has most bins; each signature is made from the one before.
+    The first class is that of the smallest sets, which has most bins; each signature is made from the one before. least: the
+    bins of the last class of all, where `classes` are some of them.
     """
     banded = [c for c in classes if c.bins is not None]
+    least = least or (banded[-1].bins if banded else None)
 
     def nest(done: list[Column], left: list[SizeClass]) -> Column:
         if not left:
             return F.struct(*(c.alias(f"c{k}") for k, c in enumerate(done))) if done else F.struct(F.lit(0).alias("none"))
-        found = signature(done[-1] if done else hashes, bins_of(size, left[0].bins, banded[-1].bins))
+        found = signature(done[-1] if done else hashes, bins_of(size, left[0].bins, least))
         return let(found, lambda x: nest([*done, x], left[1:]))
 
     return nest([], banded)
 
 
+def finest(classes: list[SizeClass]) -> list[SizeClass]:
+    """The classes without bands, and of the others the one of the smallest sets, of whose bands those of the rest are a part."""
+    banded = [c for c in classes if c.bins is not None]
+    return [c for c in classes if c.bins is None] + banded[:1]
+
+
 def meeting(classes: list[SizeClass], by_class: dict[SizeClass, set[int]], whole: str = "s", sig: str = "sig") -> Column:
     """The hashes by which a set meets the short sets: of `whole` for classes without bands, of the signatures for the others."""
     parts, k = [], 0

@@ -22,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, saved
+from streakframe.llm.common import bounded, ready, saved
 from streakframe.llm.tokens import encoder
-from streakframe.session import ship
 
 SIZE = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32); row tells apart documents of one id. Only the first piece is short."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, examples, raw, sampled, sigmoid
-from streakframe.session import ship
+from streakframe.llm.common import bounded, examples, raw, ready, sampled, sigmoid
 
 MARKS = b"!$%&#*|.,;:?<>{}()[]=/@_\"'-"
 GROUPS = {
@@ -134,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 20_000) -> Trees:
     """Fits on at most max_rows labelled documents among those that `learn` (a condition on doc_id) admits."""
-    ship(spark)
+    ready(spark)
     picked = sampled(labels, label, learn, max_rows)
     table = examples(docs, picked, lambda found: [x.tobytes() for x in statistics(found)], "binary", max_rows).toArrow()
     y = np.array([float(v) for v in table.column("y").to_pylist()])
@@ -144,7 +143,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
 
 def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns of `keep` (else doc_id) and `name`, the chance of label 1, for every row of docs."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     keep = keep or ["doc_id"]
     picked = docs.select(*dict.fromkeys([*keep, "text"]))
 

@@ -24,9 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, fresh, raw, row_key, saved
+from streakframe.llm.common import bounded, fresh, raw, ready, row_key, saved
 from streakframe.llm.components import components
-from streakframe.session import ship
 
 SEED = 42
 BITS = 4
@@ -89,7 +88,7 @@ def fingerprints(docs: DataFrame, size: int = 4, lanes: int = 1, distinct: bool
 
     distinct: a shingle that repeats counts once.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     names = ["fp", *(f"fp_{k}" for k in range(1, lanes))]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +223,7 @@ def _halfway(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(spark: SparkSession, values: DataFrame) -> DataFrame:
     """Links (choice, a, b) that connect what is connected among the distinct fingerprints `fp` of each `lane` (0 without that column)."""
-    ship(spark)
+    ready(spark)
     known = values if "lane" in values.columns else values.withColumn("lane", F.lit(0))
     postings = known.select("lane", "fp").mapInArrow(_postings, "key long, fp long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -258,7 +257,7 @@ def groups(spark: SparkSession, docs: DataFrame, size: int = 4) -> DataFrame:
     return marked.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, size: int = 1, lanes: int = 2) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = 1, lanes: int = 3) -> DataFrame:
     """One document of each group of texts that link in any lane; rows equal in id and text are one document.
 
     Of a group the smallest id stays, one without id only where all lack one; of several texts of that id the one of the least

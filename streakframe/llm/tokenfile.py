@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, map_file, new_folder, open_store
+from streakframe.llm.common import bounded, map_file, new_folder, open_store, ready
 from streakframe.llm.tokens import encoder
-from streakframe.session import ship
 
 LENGTH = 2048
 #: Sequences in one record batch.
@@ -116,7 +115,7 @@ class TokenFiles:
 
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, folder: str | None = None, length: int = LENGTH) -> TokenFiles:
     """Encodes every text, appends `end` to each document, and writes token files in ascending doc_id order."""
-    ship(spark)
+    ready(spark)
     folder = folder or new_folder(spark, "tokens")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, examples, sampled, saved, sigmoid, texts
-from streakframe.session import ship
+from streakframe.llm.common import bounded, examples, ready, sampled, saved, sigmoid, texts
 
 #: Mentions of groups, by kind. Fixed values.
 IDENTITY = (
@@ -236,7 +235,7 @@ def find_terms(sample: DataFrame, n: int, ones: int, most: int = 64, share: floa
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 6_000, keep: int = 4096, least: int = 3, **settings: float) -> Linear:
     """Fits on at most max_rows labelled documents among those that `learn` (a condition on doc_id) admits."""
-    ship(spark)
+    ready(spark)
     picked = sampled(labels, label, learn, max_rows)
     rows = examples(docs, picked, lambda found: [sorted(words_of(t.decode())) for t in found], "array<binary>", max_rows)
     # a few texts to a task: their number is bounded, so that of tasks is
@@ -295,7 +294,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
 
 def score(docs: DataFrame, model: Linear, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns of `keep` (else doc_id) and `name`, the chance of being toxic, for every row of docs."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,14 @@
-"""The pipeline's stages, each against what its operator says of the rows it gets."""
+"""The pipeline's stages, each against a plain version over the rows it gets."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from streakframe.llm import decontam, quality, simhash, toxicity  # noqa: E402
+from streakframe.llm import quality, queries, toxicity  # noqa: E402
 from streakframe.llm.common import remainder  # noqa: E402
+from test_models import plain_score, plain_statistics, walked  # noqa: E402
+from test_rows import plain_near_duplicates  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,23 +22,26 @@ def test_stages(spark):
 
     good = stages[0](spark, docs, SF)
     model = quality.train(spark, docs, labels, "quality", remainder("doc_id", 5) != 0)
-    assert good.columns == docs.columns and ids(good) == ids(quality.score(docs, model).where("score >= 0.3"))
+    rows = docs.collect()
+    assert good.columns == docs.columns and ids(good) == {r.doc_id for r in rows if walked(model, plain_statistics(r.text or "")) >= 0.3}
     clean_rows = labels.where("quality = 1").join(docs, "doc_id")
     assert clean_rows.join(good, "doc_id", "left_semi").count() >= 0.97 * clean_rows.count()
 
     mild = stages[1](spark, good, SF)
     model = toxicity.train(spark, good, labels, "toxic", remainder("doc_id", 3) != 1)
-    assert mild.columns == docs.columns and ids(mild) == ids(toxicity.score(good, model).where("score < 0.7"))
+    assert mild.columns == docs.columns and ids(mild) == {r.doc_id for r in good.collect() if plain_score(model, r.text or "") < 0.7}
     marked = good.join(labels.where("toxic = 1"), "doc_id", "left_semi")
     assert mild.join(marked, "doc_id", "left_semi").count() <= 0.25 * marked.count()
 
     single = stages[2](spark, mild, SF)
-    groups = simhash.groups(spark, mild)
-    assert single.columns == docs.columns and ids(single) == {r.component_id for r in groups.collect()}
+    assert single.columns == docs.columns and ids(single) == set(plain_near_duplicates(mild.collect()))
 
     pure = stages[3](spark, single, SF)
-    leaks = decontam.search(spark, single, spark.read.parquet(f"{SF}/benchmark.parquet"))
-    assert pure.columns == docs.columns and ids(pure) == ids(single) - ids(leaks)
+    con = duckdb.connect()
+    con.register("documents", single.toPandas())
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+    leaks = {r[0] for r in con.execute(f"SELECT DISTINCT doc_id FROM ({queries.DECONTAMINATION_SQL})").fetchall()}
+    assert leaks and pure.columns == docs.columns and ids(pure) == ids(single) - leaks
 
     packed = stages[4](spark, pure, SF)
     assert ids(packed) == ids(pure)
