@@ -12,26 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe import config as cfg
-from streakframe.operators import geometry, indexing
+from streakframe.operators import geometry, groups, indexing
 from streakframe.plans import pipelines
 from streakframe.schema import to_long
 from streakframe.sources import geom, runs
 
-def _data(spark: SparkSession, scan: cfg.Scan) -> DataFrame:
-    index = runs.open_run(spark, scan.scan_num, scan.run, scan.file("index"))
-    return to_long(runs.load(spark, index))
-
 
 def metadata(spark: SparkSession, scan: cfg.Scan, params: cfg.Metadata) -> DataFrame:
-    data = _data(spark, scan)
-    part = data.join(pipelines.sample_frames(data, scan.n_frames), "frame", "left_semi")
-    pipelines.create_metadata(part, params).write.mode("overwrite").parquet(out := scan.file("metadata"))
+    # the sample is drawn from the index of frames, and only its files are read
+    sample = pipelines.sample_frames(runs.open_run(spark, scan.scan_num, scan.run, scan.file("index")), scan.n_frames)
+    pipelines.create_metadata(to_long(runs.scanned(spark, scan, sample)), params).write.mode("overwrite").parquet(out := scan.file("metadata"))
     return spark.read.parquet(out)
 
 
 def metalist(spark: SparkSession, scan: cfg.Scan, params: cfg.Metadata) -> DataFrame:
-    data = _data(spark, scan)
-    frames = data.agg(F.max("frame")).first()[0] + 1
+    frames = runs.open_run(spark, scan.scan_num, scan.run, scan.file("index")).agg(F.max("frame")).first()[0] + 1
+    data = to_long(runs.scanned(spark, scan))
     tables = pipelines.create_metalist(data, frames, scan.n_frames, scan.spacing, params)
     for name, t in zip(("metadata", "whitefields", "eigen", "eigenvalues"), tables, strict=True):
         t.write.mode("overwrite").parquet(scan.file("metalist", suffix=name))
@@ -40,7 +36,7 @@ def metalist(spark: SparkSession, scan: cfg.Scan, params: cfg.Metadata) -> DataF
 
 def detect(spark: SparkSession, scan: cfg.Scan, params: cfg.StreakFinder | cfg.RegionFinder, kind: str = "streaks", frames_only: bool = False) -> DataFrame:
     """Streaks of frames with more than the scan's number of hits, or a CSV list of those frames alone."""
-    data = _data(spark, scan)
+    data = runs.scanned(spark, scan)
     wanted = scan.file("metadata"), scan.file("metalist", suffix="metadata")
     meta = next(spark.read.parquet(p) for p in wanted if runs_there(spark, p))
     fields = spark.read.parquet(p) if runs_there(spark, p := scan.file("metalist", suffix="eigen")) else None
@@ -58,7 +54,9 @@ def index(spark: SparkSession, scan: cfg.Scan, params: cfg.Indexing, lens: index
     streaks = spark.read.parquet(scan.file("streaks"))
     if scan.run.geometry_file:
         streaks = geometry.to_streaks(streaks.select("index", "module_id", "x_0", "y_0", "x_1", "y_1"), geom.read_geom(spark, scan.run.geometry_file))
-    patterns = geometry.to_patterns(streaks, pixel_size).withColumn("streak_id", F.monotonically_increasing_id())
+    # numbered by their rank within the frame, so that a task that is run again numbers them the same
+    ranked = groups.ranking(streaks.select("index", "x_0", "y_0", "x_1", "y_1"), ["x_0", "y_0", "x_1", "y_1"]).withColumn("streak_id", F.col("rank").cast("long")).drop("rank")
+    patterns = geometry.to_patterns(ranked, pixel_size)
     found = pipelines.index_patterns(patterns, spark.read.parquet(xtals), lens, params)
     found.write.mode("overwrite").parquet(out := scan.file("solutions"))
     return spark.read.parquet(out)

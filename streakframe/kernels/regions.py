@@ -103,6 +103,24 @@ def log_binomial_tail(n: int, k: int, p: float) -> float:
     return top + math.log(math.fsum(math.exp(t - top) for t in terms))
 
 
+def log_binomial_tails(n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log_binomial_tail of many rows in one pass: the terms of all rows end to end, and sums over each row's own."""
+    out = np.where((k <= 0) | (p >= 1), 0.0, -np.inf)
+    some = np.flatnonzero((k > 0) & (k <= n) & (p > 0) & (p < 1))
+    if not len(some):
+        return out
+    n, k, p = n[some].astype(np.int64), k[some].astype(np.int64), p[some].astype(float)
+    factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n.max() + 1)))))
+    count = n - k + 1
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(n)), count)
+    i = np.arange(count.sum()) - first[row] + k[row]
+    term = (factorial[n] + n * np.log1p(-p))[row] - factorial[i] - factorial[n[row] - i] + i * (np.log(p) - np.log1p(-p))[row]
+    top = np.maximum.reduceat(term, first)
+    out[some] = top + np.log(np.add.reduceat(np.exp(term - top[row]), first))
+    return out
+
+
 def p_value(coordinates: np.ndarray, values: np.ndarray, ends: np.ndarray, p0: float, vmin: float, xtol: float) -> float:
     """log chance that so many of a region's pixels near the segment would reach vmin by accident."""
     near = distance(coordinates, ends) < xtol

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from streakframe.kernels.regions import distance, label, line_fit, log_binomial_tail
+from streakframe.kernels.regions import distance, label, line_fit, log_binomial_tail, p_value
 from streakframe.kernels.structure import Structure, views
 
 BAD = -1
@@ -214,6 +214,13 @@ class Finder:
         return int((self.data.flat[self.pixels(members)] >= self.vmin).sum())
 
 
+    def p_value(self, members: list[int], xtol: float, p0: float) -> float:
+        """log chance of a streak's own footprint: its line, fitted to the footprint alone, against what is near it by accident."""
+        at = np.stack(np.unravel_index(self.pixels(members), self.data.shape), axis=1)
+        values = self.data[tuple(at.T)]
+        return p_value(at, values, line_fit(at, values), p0, self.vmin, xtol)
+
+
 def ranking(n_signal: list[int]) -> np.ndarray:
     """Rank of each streak from 0: more signal first, then the earlier."""
     order = np.lexsort((np.arange(len(n_signal)), -np.asarray(n_signal)))

@@ -84,26 +84,31 @@ def to_detector(points: DataFrame, panels: DataFrame, tolerance: float = 1.0, ha
 def to_streaks(streaks: DataFrame, panels: DataFrame, half_pixel: bool = True) -> DataFrame:
     """Streaks of modules to the assembled detector, each wholly on the panel nearest both its ends.
 
-    The end nearer that panel is placed by it, the other follows along the panel's axes, so that the length stays.
+    The end nearer that panel is placed by it, the other follows along the panel's axes, so that the length stays. Streaks that
+    repeat are placed each. Panels are gathered by module first, so that a streak chooses among them within its own row.
     """
     ids = [c for c in streaks.columns if c not in ("x_0", "y_0", "x_1", "y_1", "module_id")]
-    d0, d1 = panel_distance(F.col("y_0"), F.col("x_0")), panel_distance(F.col("y_1"), F.col("x_1"))
-    numbered = streaks.withColumn("_s", F.struct("index", "module_id", "x_0", "y_0", "x_1", "y_1"))
-    joined = numbered.join(dimension(panels.withColumnRenamed("module", "module_id")), "module_id").withColumn("_d0", d0).withColumn("_d1", d1)
-    first = F.col("_d0") <= F.col("_d1")
+    own = [c for c in panels.columns if c != "module"]
+    of_module = panels.groupBy(F.col("module").alias("module_id")).agg(F.collect_list(F.struct(*own)).alias("_panels"))
+    joined = streaks.join(dimension(of_module), "module_id")
+
+    def far(p: Column, end: int) -> Column:
+        ss, fs = F.col(f"y_{end}"), F.col(f"x_{end}")
+        return F.hypot(ss - clip(ss, p["min_ss"], p["max_ss"] + 1), fs - clip(fs, p["min_fs"], p["max_fs"] + 1))
+
+    ranked = F.transform("_panels", lambda p: F.struct((far(p, 0) + far(p, 1)).alias("d"), p["panel_id"].alias("panel_id"), (far(p, 0) <= far(p, 1)).alias("first"), p.alias("p")))
+    # least by distance, then by number; structs compare by their fields in order
+    best = joined.select("index", *[c for c in ids if c != "index"], "x_0", "y_0", "x_1", "y_1", F.array_min(ranked).alias("b")).select("*", "b.p.*", F.col("b.first").alias("_first")).drop("b")
+    first = F.col("_first")
     near = lambda a: F.when(first, F.col(f"{a}_0")).otherwise(F.col(f"{a}_1"))
-    far = lambda a: F.when(first, F.col(f"{a}_1")).otherwise(F.col(f"{a}_0"))
+    other = lambda a: F.when(first, F.col(f"{a}_1")).otherwise(F.col(f"{a}_0"))
     x, y, _ = to_panel_plane(near("y") - F.col("min_ss"), near("x") - F.col("min_fs"), half_pixel)
-    ds, df = far("y") - near("y"), far("x") - near("x")
+    ds, df = other("y") - near("y"), other("x") - near("x")
     dx, dy = ds * F.col("ss_x") + df * F.col("fs_x"), ds * F.col("ss_y") + df * F.col("fs_y")
-    placed = F.struct(
-        F.when(first, x).otherwise(x + dx).alias("x_0"), F.when(first, y).otherwise(y + dy).alias("y_0"), F.when(first, x + dx).otherwise(x).alias("x_1"), F.when(first, y + dy).otherwise(y).alias("y_1")
-    )
-    best = joined.groupBy("_s", *[c for c in ids if c != "index"]).agg(F.min_by(placed, F.struct((F.col("_d0") + F.col("_d1")).alias("d"), "panel_id")).alias("p"))
+    placed = {"x_0": F.when(first, x).otherwise(x + dx), "y_0": F.when(first, y).otherwise(y + dy), "x_1": F.when(first, x + dx).otherwise(x), "y_1": F.when(first, y + dy).otherwise(y)}
     low = bounds(panels).select("x_min", "y_min")
-    out = best.crossJoin(F.broadcast(low))
-    shifted = [(F.col(f"p.{c}") - F.col(f"{c[0]}_min")).alias(c) for c in ("x_0", "y_0", "x_1", "y_1")]
-    return out.select(F.col("_s.index").alias("index"), *[c for c in ids if c != "index"], *shifted)
+    out = best.crossJoin(F.broadcast(low))  # one row
+    return out.select("index", *[c for c in ids if c != "index"], *((placed[c] - F.col(f"{c[0]}_min")).alias(c) for c in placed))
 
 
 def to_patterns(streaks: DataFrame, pixel_size: float) -> DataFrame:

@@ -5,12 +5,14 @@ No operator needs the rows to be sorted: a group is what shares a key. Order mat
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakframe.session import settled
+from streakframe.session import settled, ship
 
 KEY = "index"
 
@@ -204,3 +206,16 @@ def positional_zip(one: DataFrame, one_order: list[str], other: DataFrame, other
         order = other_order if n == 1 else one_order
         return running(longer, order, F.lit(1), "position").join(F.broadcast(single), how="cross")
     return running(one, one_order, F.lit(1), "position").join(running(other, other_order, F.lit(1), "position"), "position")
+
+
+def per_group(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = KEY) -> DataFrame:
+    """function applied to the rows of each group as one table; a group must fit a worker."""
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInPandas(function, schema)
+
+
+def replace(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns replaced; a name that isn't there is an error."""
+    if unknown := values.keys() - set(df.columns):
+        raise KeyError(f"no columns {sorted(unknown)}")
+    return df.withColumns(values)

@@ -24,6 +24,10 @@ from streakframe.schema import AXES
 from streakframe.session import ship
 
 
+#: Most rows of a lattice or another bounded table that are broadcast.
+SMALL = 200_000
+
+
 @dataclass(frozen=True)
 class Lens:
     """Focus (x, y, z), the pupil as (y_min, y_max, x_min, x_max) at the detector, and the sample's z, all in metres."""
@@ -96,8 +100,8 @@ def hkl_in_ball(spark: SparkSession, xtals: DataFrame, q_abs: float) -> DataFram
     nh, nk, nl = xtals.agg(*sizes).first()
     grid = spark.range(1).select(_span(nh).alias("h")).select("h", _span(nk).alias("k")).select("h", "k", _span(nl).alias("l")).where("h <> 0 or k <> 0 or l <> 0")
     q = v.row_times(tuple(F.col(c).cast("double") for c in "hkl"), m)
-    # a triple meets each crystal once; the lattice box is the bounded side
-    return grid.join(F.broadcast(xtals.select(*AXES)), how="cross").where(v.norm(q) < q_abs).select("h", "k", "l").distinct()
+    # a triple meets each crystal once; the lattice box is the bounded side, and so the one to broadcast
+    return xtals.select(*AXES).join(small(grid), how="cross").where(v.norm(q) < q_abs).select("h", "k", "l").distinct()
 
 
 def hkl_to_q(miller: DataFrame, xtals: DataFrame) -> DataFrame:
@@ -112,19 +116,30 @@ def q_to_hkl(rlp: DataFrame, xtals: DataFrame) -> DataFrame:
     return rlp.join(xtals, "index").select(*rlp.columns, *(x.alias(c) for x, c in zip(hkl, "hkl", strict=True)))
 
 
-def hkl_range(hkl: DataFrame, xtals: DataFrame, indices: list[int]) -> DataFrame:
-    """(index, h, k, l, qx, qy, qz): one crystal's lattice for every index, or each index's own crystal."""
-    n = xtals.count()
-    spark = hkl.sparkSession
-    keys = spark.createDataFrame([(int(i),) for i in indices], "index long")
+def small(df: DataFrame) -> DataFrame:
+    """df for a broadcast join while it has SMALL rows at most; beyond that Spark deals both sides."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def lattice(hkl: DataFrame, xtals: DataFrame) -> DataFrame:
+    """(index, h, k, l, qx, qy, qz): the triples in the basis of each crystal."""
     q = v.row_times(tuple(F.col(c).cast("double") for c in "hkl"), v.matrix(names=AXES))
-    named = [x.alias(f"q{c}") for x, c in zip(q, "xyz", strict=True)]
+    return xtals.join(small(hkl), how="cross").select("index", "h", "k", "l", *(x.alias(f"q{c}") for x, c in zip(q, "xyz", strict=True)))
+
+
+def hkl_range(hkl: DataFrame, xtals: DataFrame, indices: list[int] | DataFrame) -> DataFrame:
+    """(index, h, k, l, qx, qy, qz): one crystal's lattice for every index, or each index's own crystal.
+
+    indices: numbers, or a table with a column `index` of distinct ones.
+    """
+    keys = indices.select("index") if isinstance(indices, DataFrame) else hkl.sparkSession.createDataFrame([(int(i),) for i in indices], "index long")
+    points = lattice(hkl, xtals)
+    n = xtals.count()
     if n == 1:
-        single = hkl.join(F.broadcast(xtals.drop("index")), how="cross").select("h", "k", "l", *named)
-        return keys.join(F.broadcast(single), how="cross").select("index", "h", "k", "l", "qx", "qy", "qz")
-    if n != len(indices):
-        raise ValueError(f"{n} crystals for {len(indices)} patterns")
-    return xtals.join(F.broadcast(hkl), how="cross").select("index", "h", "k", "l", *named)
+        return keys.join(small(points.drop("index")), how="cross").select(points.columns)
+    if n != (wanted := keys.count()):
+        raise ValueError(f"{n} crystals for {wanted} patterns")
+    return points
 
 
 def hkl_bounds(one: DataFrame, other: DataFrame, xtals: DataFrame, key: str = "streak_id") -> DataFrame:
@@ -252,16 +267,21 @@ def candidates(rlp: DataFrame, uca: DataFrame, cell: float | None = None) -> Dat
     """Reciprocal points and caps of one index with min_res < |q|^2 < max_res.
 
     cell: beyond about a million pairs of an index, points and shells also meet by cells of |q|^2 of this width, so that a
-    point is compared with the shells near it only.
+    point is compared with the shells near it only. Points without an index are those of a crystal for all: they meet shells
+    by cells alone, and no point is repeated for each pattern.
     """
     res = v.dot(*[v.columns("qx", "qy", "qz")] * 2)
+    by = ["index"] if "index" in rlp.columns else []
+    if not by and cell is None:
+        raise ValueError("points for all patterns need a cell")
     points = rlp.withColumn("res", res)
     inside = (F.col("res") > F.col("min_res")) & (F.col("res") < F.col("max_res"))
     if cell is None:
         return points.join(uca, "index").where(inside).drop("res")
     points = points.withColumn("_cell", F.floor(F.col("res") / cell))
     shells = uca.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("min_res") / cell), F.floor(F.col("max_res") / cell))))
-    return points.join(shells, ["index", "_cell"]).where(inside).drop("res", "_cell")
+    found = shells.join(points if by else small(points), [*by, "_cell"]).where(inside)
+    return found.select("index", *(c for c in rlp.columns if c not in by), *(c for c in uca.columns if c != "index"))
 
 
 def rotograms(pairs: DataFrame, num_points: int = 100) -> DataFrame:
@@ -372,7 +392,7 @@ def refine_peaks(peaks: DataFrame, rotomaps: DataFrame, size: int, vicinity: Str
         image, mask = np.zeros((size,) * 3), np.zeros((size,) * 3, bool)
         at = tuple(pdf[["z", "y", "x"]].to_numpy().T)
         image[at] = pdf.value
-        mask[at] = pdf.peak.fillna(False).astype(bool)
+        mask[at] = pdf.peak.eq(True).to_numpy(bool)
         regions = kernel.label(kernel.dilate(mask, vicinity), touch)
         rows = []
         for k in range(1, int(regions.max()) + 1):
@@ -456,6 +476,22 @@ def line_loss(pairs: DataFrame, lens: Lens, loss: str = "l1") -> DataFrame:
     return _loss(pairs, v.columns("kin_x", "kin_y", "kin_z"), projected, loss)
 
 
+def loss_gradient(patterns: DataFrame, miller: DataFrame, xtals: DataFrame, lens: Lens, step: float = 1e-6, **settings) -> DataFrame:
+    """(index, a_x to c_z): the slope of each pattern's mean loss along its crystal's nine axis components.
+
+    Central differences: each crystal is moved along each component both ways, and the moved ones are patterns of their own in
+    one evaluation of the loss. settings: of model_loss. The triples of each streak stay as they are given.
+    """
+    moves = F.explode(F.sequence(F.lit(0), F.lit(2 * len(AXES) - 1)))
+    apart = lambda df: df.withColumn("_m", moves).withColumn("index", F.col("index") * (2 * len(AXES)) + F.col("_m"))
+    sign = F.when(F.col("_m") % 2 == 0, step).otherwise(-step)
+    moved = apart(xtals).withColumns({c: F.col(c) + F.when(F.expr("_m div 2") == k, sign).otherwise(0.0) for k, c in enumerate(AXES)}).drop("_m")
+    losses = per_streak(model_loss(apart(patterns).drop("_m"), apart(miller).drop("_m"), moved, lens, **settings))
+    mean = per_pattern(losses, moved).select(F.expr(f"index div {2 * len(AXES)}").alias("index"), (F.col("index") % (2 * len(AXES))).alias("m"), "loss")
+    slope = [F.sum(F.when(F.col("m") == 2 * k, F.col("loss")).when(F.col("m") == 2 * k + 1, -F.col("loss"))) / (2 * step) for k in range(len(AXES))]
+    return mean.groupBy("index").agg(*(x.alias(c) for x, c in zip(slope, AXES, strict=True)))
+
+
 PROJECTORS = {"pupil": pupil_loss, "line": line_loss}
 
 

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakframe.kernels import regions as kernel
 from streakframe.kernels import streaks as streak_kernel
 from streakframe.kernels.structure import Structure
+from streakframe.operators.blocks import gathered, images
 from streakframe.session import ship
 
 REGION = ("frame", "region")
@@ -50,30 +52,29 @@ def dilate(pixels: DataFrame, structure: Structure, shape: tuple[int, int, int],
     return out
 
 
-def label(blocks: DataFrame, structure: Structure, vmin: float, npts: int = 1, strict: bool = True) -> DataFrame:
-    """region_pixels of each frame's pixels over vmin (or at least vmin, if not strict).
+def label(blocks: DataFrame, structure: Structure, vmin: float, npts: int = 1, strict: bool = True, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """region_pixels of each frame's pixels over vmin (or at least vmin, if not strict), inside the region of interest if there is one.
 
     A structure of rank 2 stays within a module; of rank 3 it reaches over modules, so that a frame's modules come together.
     Regions are numbered from 1 within a frame in the order of their smallest pixel id.
     """
     ship(blocks.sparkSession)
-    rows = blocks.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("module", "n_ss", "n_fs", "pixels"))).alias("m"))
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = structure.expand_dims(3)
         for batch in batches:
-            parts = []
-            for frame, modules in zip(batch.frame, batch.m, strict=True):
-                image = np.stack([np.asarray(m["pixels"]).reshape(m["n_ss"], m["n_fs"]) for m in modules])
-                names = np.array([m["module"] for m in modules])
-                numbers = kernel.label(image > vmin if strict else image >= vmin, full, npts)
-                at = np.argwhere(numbers > 0)
-                own = tuple(at.T)
-                parts.append(pd.DataFrame({"frame": frame, "region": numbers[own], "module": names[at[:, 0]], "ss": at[:, 1], "fs": at[:, 2], "value": image[own]}))
-            if parts:
-                yield pd.concat(parts)
+            for frame, names, image in images(batch):
+                bright = image > vmin if strict else image >= vmin
+                if roi:
+                    inside = np.zeros(image.shape[1:], bool)
+                    inside[roi[0] : roi[1], roi[2] : roi[3]] = True
+                    bright &= inside
+                numbers = kernel.label(bright, full, npts)
+                at = np.nonzero(numbers > 0)
+                ids = [np.full(len(at[0]), frame, np.int64), numbers[at].astype(np.int64), names[at[0]], *(x.astype(np.int32) for x in at[1:])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(image[at].astype(float))], ["frame", "region", "module", "ss", "fs", "value"])
 
-    return rows.mapInPandas(found, "frame long, region long, module int, ss int, fs int, value double")
+    return gathered(blocks).mapInArrow(found, "frame long, region long, module int, ss int, fs int, value double")
 
 
 def from_labels(pixels: DataFrame, label: str = "label") -> DataFrame:
@@ -175,7 +176,7 @@ def log_tail(n: Column, k: Column, p: Column) -> Column:
 
     @F.pandas_udf("double")
     def tail(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([kernel.log_binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(n, k, p, strict=True)], dtype=float)
+        return pd.Series(kernel.log_binomial_tails(n.to_numpy(), k.to_numpy(), p.to_numpy()))
 
     return tail(n, k, p)
 
@@ -188,6 +189,40 @@ def p_values(regions: DataFrame, lines: DataFrame, p0: DataFrame, vmin: float, x
     return rows.select(*REGION, "n", "k", "log_p", support.alias("min_support"))
 
 
+def take_regions(regions: DataFrame, numbers: list[int]) -> DataFrame:
+    """Regions by their numbers, renumbered from 1 in the order given; negative numbers count from a frame's last region."""
+    order = regions.sparkSession.createDataFrame([(int(n), k) for k, n in enumerate(numbers, 1)], "_n long, _k long")
+    last = regions.groupBy("frame").agg(F.max("region").alias("_last"))
+    wanted = last.crossJoin(F.broadcast(order)).select("frame", F.when(F.col("_n") < 0, F.col("_last") + 1 + F.col("_n")).otherwise(F.col("_n")).alias("region"), "_k")
+    return regions.join(wanted, list(REGION)).withColumn("region", F.col("_k")).drop("_k")
+
+
+def keep_regions(regions: DataFrame, keep: Column) -> DataFrame:
+    """The regions for which a condition on `region` holds, renumbered from 1 in their order. Its opposite drops regions."""
+    some = regions.where(keep)
+    numbers = some.select(*REGION).distinct().withColumn("_k", F.row_number().over(Window.partitionBy("frame").orderBy("region")).cast("long"))
+    return some.join(numbers, list(REGION)).withColumn("region", F.col("_k")).drop("_k")
+
+
+def append_regions(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The regions of two tables, those of the second numbered after the first's."""
+    last = one.groupBy("frame").agg(F.max("region").alias("_last"))
+    moved = other.join(last, "frame", "left").withColumn("region", F.col("region") + F.coalesce("_last", F.lit(0))).drop("_last")
+    return one.unionByName(moved.select(one.columns))
+
+
+def best_peaks(found: DataFrame, quantile: float) -> DataFrame:
+    """The brightest share of each frame's peaks: ranks up to the whole part of quantile times their number."""
+    many = F.count("*").over(Window.partitionBy("frame"))
+    return found.withColumn("_n", many).where(F.col("rank") <= F.floor(F.col("_n") * quantile)).drop("_n")
+
+
+def lines_to_streaks(lines: DataFrame) -> DataFrame:
+    """(index, module_id, x_0, y_0, x_1, y_1) of lines in space (frame, x_0, y_0, z_0, x_1, y_1, z_1): the module nearest their middle."""
+    module = F.rint((F.col("z_0") + F.col("z_1")) / 2).cast("int")
+    return lines.select(F.col("frame").alias("index"), module.alias("module_id"), "x_0", "y_0", "x_1", "y_1")
+
+
 def to_streaks(measured: DataFrame) -> DataFrame:
     """(index, module_id, x_0, y_0, x_1, y_1): lines of regions, at the module nearest the centroid."""
     lines = line_fit(measured).join(measured.select(*REGION, F.rint("cz").cast("int").alias("module_id")), list(REGION))
@@ -198,18 +233,15 @@ def peaks(blocks: DataFrame, radius: int, vmin: float, structure: Structure | No
     """(frame, module, by, bx, ss, fs, value, rank): the brightest local maximum of each bin, ranked within the frame from 1."""
     ship(blocks.sparkSession)
     near = (structure or Structure((1, 1), 1)).expand_dims(3)
-    rows = blocks.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("module", "n_ss", "n_fs", "pixels"))).alias("m"))
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [pd.DataFrame({c: [] for c in ("frame", "module", "by", "bx", "ss", "fs", "value", "rank")})]
-            for frame, modules in zip(batch.frame, batch.m, strict=True):
-                image = np.stack([np.asarray(m["pixels"]).reshape(m["n_ss"], m["n_fs"]) for m in modules])
+            for frame, names, image in images(batch):
                 labeled = kernel.label(image >= vmin, near, npts) > 0
                 best = streak_kernel.peak_labels(streak_kernel.detect_peaks(image, labeled, radius, vmin), image, radius)
                 z, y, x = np.unravel_index(np.array(best.at, int), image.shape)
-                names = np.array([m["module"] for m in modules])
-                parts.append(pd.DataFrame({"frame": frame, "module": names[z], "by": y // radius, "bx": x // radius, "ss": y, "fs": x, "value": image[z, y, x], "rank": np.arange(1, len(z) + 1)}))
-            yield pd.concat(parts)
+                whole = [names[z], y // radius, x // radius, y, x]
+                columns = [pa.array(np.full(len(z), frame, np.int64)), *(pa.array(c.astype(np.int32)) for c in whole), pa.array(image[z, y, x].astype(float)), pa.array(np.arange(1, len(z) + 1, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["frame", "module", "by", "bx", "ss", "fs", "value", "rank"])
 
-    return rows.mapInPandas(found, "frame long, module int, by int, bx int, ss int, fs int, value double, rank int")
+    return gathered(blocks).mapInArrow(found, "frame long, module int, by int, bx int, ss int, fs int, value double, rank int")

@@ -100,18 +100,20 @@ def lsq(pixels: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def robust_lsq(pixels: DataFrame, fields: DataFrame, r0: float = 0.5, r1: float = 0.99, n_iter: int = 3, lm: float = 9.0) -> DataFrame:
-    """(frame, comp, coef) without outlying pixels. One frame goes to one call, with the fields' values beside its own."""
+    """(frame, comp, coef) without outlying pixels. A frame's values go to the kernel as one array, and those of its fields as another."""
     ship(pixels.sparkSession)
     w = fields.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("comp", "value"))).alias("w"))
-    joined = pixels.join(w, list(PIXEL)).select("frame", F.struct(*PIXEL, "value", F.transform("w", lambda x: x["comp"]).alias("c"), F.transform("w", lambda x: x["value"]).alias("w")).alias("p"))
+    joined = pixels.join(w, list(PIXEL)).groupBy("frame").agg(F.sort_array(F.collect_list(F.struct(*PIXEL, F.col("value").cast("double").alias("value"), "w"))).alias("p"))
+    names = F.transform(F.get("p", 0)["w"], lambda x: x["comp"].cast("int"))
+    rows = joined.select("frame", F.transform("p", lambda p: p["value"]).alias("v"), F.flatten(F.transform("p", lambda p: F.transform(p["w"], lambda x: x["value"].cast("double")))).alias("w"), names.alias("c"))
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.p, key=lambda p: (p["module"], p["ss"], p["fs"]))
-        features = np.array([p["w"] for p in rows]).T
-        coef = kernel.robust_lsq(features, np.array([[p["value"] for p in rows]]), r0, r1, n_iter, lm)[0]
-        return pd.DataFrame({"frame": pdf.frame.iloc[0], "comp": rows[0]["c"], "coef": coef})
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for frame, value, features, comp in zip(b.frame, b.v, b.w, b.c, strict=True):
+                coef = kernel.robust_lsq(features.reshape(len(value), -1).T, value[None], r0, r1, n_iter, lm)[0]
+                yield pd.DataFrame({"frame": frame, "comp": comp, "coef": coef})
 
-    return joined.groupBy("frame").applyInPandas(fitted, "frame long, comp int, coef double")
+    return rows.mapInPandas(fitted, "frame long, comp int, coef double")
 
 
 def gram(whitefields: DataFrame, flatfield: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from streakframe.config import Indexing, Metadata, RegionFinder, Scaling, Streak
 from streakframe.functions.vectors import columns, concentric
 from streakframe.kernels import streaks as kernel
 from streakframe.kernels.structure import Structure
-from streakframe.operators import groups, indexing, pixels, regions, stats
+from streakframe.operators import blocks, groups, indexing, pixels, regions, stats
 from streakframe.schema import PIXEL, to_block
 from streakframe.session import ship
 
@@ -89,24 +89,38 @@ def centred(streaks: DataFrame, center: tuple[float, float] | None) -> DataFrame
     return streaks.where(concentric(columns("x_0", "y_0", "x_1", "y_1"), F.lit(center[0]), F.lit(center[1])))
 
 
+def signal_blocks(data: DataFrame, meta: DataFrame, scaling: Scaling, std_min: float, fields: DataFrame | None = None) -> DataFrame:
+    """Signal-to-noise frames in the block layout, from frames in either layout. No pixel gets a row of its own on the way from blocks."""
+    frames = data if "pixels" in data.columns else to_block(data)
+    known = blocks.side(blocks.meta_blocks(meta), "mask")
+    if scaling.method == "no-scale":
+        return blocks.snr(frames, known, std_min)
+    good = blocks.side(blocks.field_blocks(fields, tuple(scaling.good_fields)), "w")
+    left = blocks.rest(frames, known)
+    if scaling.method == "lsq":
+        coef = blocks.lsq(left, good)
+    elif scaling.method == "robust-lsq":
+        coef = blocks.robust_lsq(left, good, scaling.r0, scaling.r1, scaling.n_iter, scaling.lm)
+    else:
+        raise ValueError(f"scaling can't be {scaling.method}")
+    return blocks.snr(frames.join(coef, "frame"), known.join(good, "module"), std_min)
+
+
 def detect_regions(data: DataFrame, meta: DataFrame, config: RegionFinder, fields: DataFrame | None = None) -> DataFrame:
-    """Streak table of regions over the threshold in signal-to-noise."""
-    snr = signal(data, meta, config.scaling, config.std_min, fields)
-    found = regions.label(to_block(snr), config.regions.structure.to_structure(2), config.regions.vmin, config.regions.npts)
+    """Streak table of regions over the threshold in signal-to-noise, inside config.roi where it has an extent. data: either layout."""
+    snr = signal_blocks(data, meta, config.scaling, config.std_min, fields)
+    found = regions.label(snr, config.regions.structure.to_structure(2), config.regions.vmin, config.regions.npts, roi=config.roi.to_roi() if config.roi.size() else None)
     return centred(regions.to_streaks(regions.measures(found)), config.center)
 
 
 STREAK_ROWS = "index bigint, module_id int, x_0 double, y_0 double, x_1 double, y_1 double, log_p double, min_support double"
 
 
-def streaks_of(blocks: DataFrame, config: StreakFinder) -> DataFrame:
-    """Streaks of signal-to-noise frames: each frame's modules are gathered, then one call of the kernel for each frame.
-
-    blocks: one row for each frame with its modules in `modules`, so that it works on a stream too (no state).
-    """
+def streaks_of(frames: DataFrame, config: StreakFinder) -> DataFrame:
+    """Streaks of signal-to-noise frames (frame, modules): one call of the kernel for each frame, on a stream too (no state)."""
     s, p = config.streaks, config.peaks
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["module_id", "x_0", "y_0", "x_1", "y_1", "log_p", "min_support"]
         growth, labels = s.structure.to_structure(3), Structure((0, p.structure.radius, p.structure.radius), p.structure.connectivity)
         if not config.cross_module:
@@ -114,25 +128,24 @@ def streaks_of(blocks: DataFrame, config: StreakFinder) -> DataFrame:
         elif s.structure.radius:
             labels = p.structure.to_structure(3)
         for b in batches:
-            for frame, modules in zip(b["frame"], b["modules"], strict=True):
-                image = np.stack([np.asarray(m["pixels"], float).reshape(m["n_ss"], m["n_fs"]) for m in modules])
-                rows = pd.DataFrame(kernel.find(image, growth, s.vmin, p.npts, s.xtol, s.nfa, s.min_size, labels), columns=names)
-                rows.insert(0, "index", frame)
-                rows["module_id"] = [modules[int(k)]["module"] for k in rows["module_id"]]
-                yield rows
-
-    return blocks.mapInPandas(found, STREAK_ROWS)
-
+            frame, rows = [], [np.zeros((0, 7))]
+            for name, module, image in blocks.images(b):
+                own = kernel.find(image, growth, s.vmin, p.npts, s.xtol, s.nfa, s.min_size, labels)
+                own[:, 0] = module[own[:, 0].astype(int)]
+                frame += [name] * len(own)
+                rows.append(own)
+            table = np.concatenate(rows)
+            columns = [pa.array(frame, pa.int64()), pa.array(table[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in table[:, 1:].T)]
+            yield pa.RecordBatch.from_arrays(columns, ["index", *names])
 
-def gathered(block: DataFrame) -> DataFrame:
-    """(frame, modules): a frame's modules in order."""
-    return block.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("module", "n_ss", "n_fs", "pixels"))).alias("modules"))
+    return frames.mapInArrow(found, STREAK_ROWS)
 
 
-def detect_streaks(data: DataFrame, meta: DataFrame, config: StreakFinder, fields: DataFrame | None = None) -> DataFrame:
+def detect_streaks(data: DataFrame, meta: DataFrame, config: StreakFinder, fields: DataFrame | None = None, modules: int | None = None) -> DataFrame:
+    """Streak table of a run in either layout. modules: of each frame; frames of one are never shuffled."""
     ship(data.sparkSession)
-    snr = signal(data, meta, config.scaling, config.std_min, fields)
-    return centred(streaks_of(gathered(to_block(snr)), config), config.center)
+    snr = signal_blocks(data, meta, config.scaling, config.std_min, fields)
+    return centred(streaks_of(blocks.gathered(snr, modules), config), config.center)
 
 
 def detect_hits(streaks: DataFrame, threshold: int, pulses: DataFrame | None = None) -> DataFrame:
@@ -151,9 +164,10 @@ def index_patterns(patterns: DataFrame, xtals: DataFrame, lens: indexing.Lens, c
     if q_abs is None:
         q_abs = float(uca.agg(F.sqrt(F.max("max_res"))).first()[0])
     hkl = indexing.hkl_in_ball(patterns.sparkSession, xtals, q_abs)
-    keys = [r[0] for r in patterns.select("index").distinct().orderBy("index").collect()]
-    rlp = indexing.hkl_range(hkl, xtals, keys)
-    curves = indexing.rotograms(indexing.candidates(rlp, uca), num_points)
+    rlp, crystals = indexing.lattice(hkl, xtals), xtals.limit(2).count()
+    # points and streaks meet by cells of |q|^2; one crystal's points serve every pattern
+    pairs = indexing.candidates(rlp.drop("index") if crystals == 1 else rlp, uca, q_abs**2 / 256)
+    curves = indexing.rotograms(pairs, num_points)
     size = config.shape[0]
     maps = indexing.rotomap(curves, size, config.width)
     peaks = indexing.to_peaks(maps, config.threshold, config.n_max)

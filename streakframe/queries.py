@@ -6,17 +6,21 @@ lineitem is a table grouped by l_orderkey, and its numbers are segments; events
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe import config as cfg
+from streakframe.functions import indices
 from streakframe.functions import vectors as v
 from streakframe.kernels.structure import Structure
 from streakframe.operators import geometry, groups, indexing, pixels, raster, regions, stats
 from streakframe.plans import pipelines
-from streakframe.schema import AXES, PANELS, PIXEL, to_block
+from streakframe.schema import AXES, PANELS, PIXEL, to_block, to_long
+from streakframe.session import shared_root
+from streakframe.sources import runs
 from streakframe.streaming import detect
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +63,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame", F.lit(0).alias("module"), F.expr("pos div 8").cast("int").alias("ss"), (F.col("pos") % 8).alias("fs"), (100 * (1 + F.col("x").cast("double"))).alias("value"))
 
 
+def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as arrays."""
+    pixels_ = F.transform("embedding", lambda x: 100 * (1 + x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(0).alias("module"), F.lit(8).alias("n_ss"), F.lit(8).alias("n_fs"), pixels_.alias("pixels"))
+
+
 PX = "px AS (SELECT vec_id AS frame, 0 AS module, ((i - 1) // 8)::INT AS ss, ((i - 1) % 8)::INT AS fs, 100 * (1 + embedding[i]::DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 META = "meta AS (SELECT module, ss, fs, median(value) AS flatfield, sqrt(median(value)) AS std FROM px GROUP BY ALL)"
 SNR = "snr AS (SELECT frame, module, ss, fs, (value - flatfield) / std AS value FROM px JOIN meta USING (module, ss, fs))"
@@ -284,60 +294,24 @@ def region_moments(spark, sf_dir):
     return rounded(m, "mass", "cx", "cy", "xx", "yy", "xy")
 
 
-@query(
-    f"{BASE}, {REG}, {MOM}, t AS (SELECT *, 0.5 * atan2(2 * xy, xx - yy) AS th, sqrt(2 * ln(2) * (xx + yy + sqrt(4 * xy * xy + power(xx - yy, 2)))) AS hw FROM cov WHERE abs(xy) > 1e-9) "
-    f"SELECT frame, region, {s6('cx + hw * cos(th)')} AS x_0, {s6('cy + hw * sin(th)')} AS y_0, {s6('cx - hw * cos(th)')} AS x_1, {s6('cy - hw * sin(th)')} AS y_1 FROM t"
-)
-def line_fit(spark, sf_dir):
-    m = regions.measures(bright_regions(spark, sf_dir)).where(F.abs("xy") > 1e-9)
-    return rounded(regions.line_fit(m), "x_0", "y_0", "x_1", "y_1")
-
-
-@query(
-    f"{BASE}, {REG}, {MOM}, t AS (SELECT *, sqrt(4 * xy * xy + power(xx - yy, 2)) AS d FROM cov WHERE abs(xy) > 1e-9 AND abs(xx - yy) > 1e-9) "
-    f"SELECT frame, region, {s6('sqrt(2 * ln(2) * (xx + yy + d))')} AS a, {s6('0.5 * atan(2 * xy / (xx - yy))')} AS theta FROM t"
-)
-def ellipse_fit(spark, sf_dir):
-    m = regions.measures(bright_regions(spark, sf_dir)).where((F.abs("xy") > 1e-9) & (F.abs(F.col("xx") - F.col("yy")) > 1e-9))
-    return rounded(regions.ellipse_fit(m).drop("b"), "a", "theta")
-
-
 @query(f"{BASE} SELECT frame, avg((value >= 1.0)::INT) AS p0 FROM snr GROUP BY frame")
 def signal_share(spark, sf_dir):
     return regions.signal_share(signal(spark, sf_dir), 1.0)
 
 
-@query(
-    f"{BASE}, {REG}, {MOM}, t AS (SELECT *, 0.5 * atan2(2 * xy, xx - yy) AS th, sqrt(2 * ln(2) * (xx + yy + sqrt(4 * xy * xy + power(xx - yy, 2)))) AS hw FROM cov WHERE abs(xy) > 1e-9), "
-    "ln4 AS (SELECT frame, region, cx + hw * cos(th) AS x_0, cy + hw * sin(th) AS y_0, -2 * hw * cos(th) AS ax, -2 * hw * sin(th) AS ay FROM t), "
-    "d AS (SELECT frame, region, value, least(greatest(((fs - x_0) * ax + (ss - y_0) * ay) / (ax * ax + ay * ay), 0), 1) AS t, fs - x_0 AS dx, ss - y_0 AS dy, ax, ay FROM reg JOIN ln4 USING (frame, region)), "
-    "c AS (SELECT frame, region, count(*) FILTER (sqrt(power(dx - t * ax, 2) + power(dy - t * ay, 2)) < 0.5) AS n, count(*) FILTER (sqrt(power(dx - t * ax, 2) + power(dy - t * ay, 2)) < 0.5 AND value >= 1.5) AS k FROM d GROUP BY ALL), "
-    "p AS (SELECT frame, avg((value >= 1.5)::INT) AS p FROM snr GROUP BY frame), "
-    "q AS (SELECT c.*, p, unnest(range(k, n + 1)) AS i FROM c JOIN p USING (frame) WHERE k > 0) "
-    f"SELECT frame, region, n, k, {s6('ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))')} AS log_p FROM q GROUP BY frame, region, n, k"
-)
-def p_values(spark, sf_dir):
-    snr_ = signal(spark, sf_dir)
-    found = bright_regions(spark, sf_dir)
-    fits = regions.line_fit(regions.measures(found).where(F.abs("xy") > 1e-9))
-    p = regions.p_values(found, fits, regions.signal_share(snr_, 1.5), 1.5, 0.5)
-    return rounded(p.where("k > 0").drop("min_support"), "log_p")
-
-
-# The three fits over every region. The SQL of those above leaves out regions along an axis, whose covariance is rounding; it is
-# 0 here, and so is a difference of spreads that is.
+# A covariance or a difference of spreads that is rounding counts as 0, so that regions along an axis have one fit.
 FIT = "fit AS (SELECT * EXCLUDE (xy), CASE WHEN abs(xy) < 1e-9 THEN 0 ELSE xy END AS xy, CASE WHEN abs(xx - yy) < 1e-9 THEN 0 ELSE xx - yy END AS gap FROM cov), wide AS (SELECT *, sqrt(4 * xy * xy + gap * gap) AS d FROM fit)"
 AXIS = f"{FIT}, t AS (SELECT *, 0.5 * atan2(2 * xy, gap) AS th, sqrt(2 * ln(2) * (xx + yy + d)) AS hw FROM wide)"
 
 
 @query(f"{BASE}, {REG}, {MOM}, {AXIS} SELECT frame, region, {s6('cx + hw * cos(th)')} AS x_0, {s6('cy + hw * sin(th)')} AS y_0, {s6('cx - hw * cos(th)')} AS x_1, {s6('cy - hw * sin(th)')} AS y_1 FROM t")
-def line_fit_all(spark, sf_dir):
+def line_fit(spark, sf_dir):
     return rounded(regions.line_fit(regions.measures(bright_regions(spark, sf_dir))), "x_0", "y_0", "x_1", "y_1")
 
 
-@query(f"{BASE}, {REG}, {MOM}, {FIT} SELECT frame, region, {s6('sqrt(2 * ln(2) * (xx + yy + d))')} AS a, {s6('CASE WHEN gap = 0 THEN sign(xy) * pi() / 4 ELSE 0.5 * atan(2 * xy / gap) END')} AS theta FROM wide")
-def ellipse_fit_all(spark, sf_dir):
-    return rounded(regions.ellipse_fit(regions.measures(bright_regions(spark, sf_dir))).drop("b"), "a", "theta")
+@query(f"{BASE}, {REG}, {MOM}, {FIT} SELECT frame, region, {s6('sqrt(2 * ln(2) * (xx + yy + d))')} AS a, {s6('sqrt(greatest(2 * ln(2) * (xx + yy - d), 0))')} AS b, {s6('CASE WHEN gap = 0 THEN sign(xy) * pi() / 4 ELSE 0.5 * atan(2 * xy / gap) END')} AS theta FROM wide")
+def ellipse_fit(spark, sf_dir):
+    return rounded(regions.ellipse_fit(regions.measures(bright_regions(spark, sf_dir))), "a", "b", "theta")
 
 
 @query(
@@ -349,7 +323,7 @@ def ellipse_fit_all(spark, sf_dir):
     "q AS (SELECT c.*, nullif(p, 0) AS p, unnest(range(k, n + 1)) AS i FROM c JOIN p USING (frame)) "
     f"SELECT frame, region, n, k, CASE WHEN k = 0 THEN 0 ELSE {s6('ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))')} END AS log_p FROM q GROUP BY frame, region, n, k"
 )
-def p_values_all(spark, sf_dir):
+def p_values(spark, sf_dir):
     found = bright_regions(spark, sf_dir)
     fits = regions.line_fit(regions.measures(found))
     return rounded(regions.p_values(found, fits, regions.signal_share(signal(spark, sf_dir), 1.5), 1.5, 0.5).drop("min_support"), "log_p")
@@ -414,14 +388,8 @@ def unique_keys(spark, sf_dir):
     return groups.unique(lines(spark, sf_dir))
 
 
-@query("SELECT o_orderkey AS query, l_partkey AS row FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0")
-def get_index(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("query"), F.col("o_orderkey").alias("index"))
-    return groups.get_index(lines(spark, sf_dir).select("index", F.col("part").alias("row")), wanted)
-
-
 @query("SELECT o_orderkey AS query, l_partkey AS row FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def get_index_all(spark, sf_dir):
+def get_index(spark, sf_dir):
     """Of every order, where get_index and its SQL take 1 in 7."""
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), F.col("o_orderkey").alias("index"))
     return groups.get_index(lines(spark, sf_dir).select("index", F.col("part").alias("row")), wanted)
@@ -521,11 +489,6 @@ def segment_intersections(spark, sf_dir):
 
 
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments within images of 12 x 60 pixels: frame by supplier, term by line number."""
-    return drawn_from(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1"))
-
-
-def every_stroke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn_from(table(spark, sf_dir, "lineitem"))
 
 
@@ -534,12 +497,13 @@ def drawn_from(li: DataFrame) -> DataFrame:
 
 
 DRAW = (
-    "WITH s AS (SELECT l_suppkey AS frame, l_linenumber AS term, l_quantity AS x_0, l_discount * 100 AS y_0, l_quantity + 1 + l_linenumber AS x_1, l_tax * 100 AS y_1, row_number() OVER () AS id FROM lineitem WHERE l_orderkey % 50 = 1), "
+    "WITH s AS (SELECT l_suppkey AS frame, l_linenumber AS term, l_quantity AS x_0, l_discount * 100 AS y_0, l_quantity + 1 + l_linenumber AS x_1, l_tax * 100 AS y_1, row_number() OVER () AS id FROM lineitem), "
     "g AS (SELECT *, x_1 - x_0 AS ax, y_1 - y_0 AS ay FROM s, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs) WHERE fs BETWEEN x_0 - 2 AND x_1 + 2), "
     "t AS (SELECT *, least(greatest(((fs - x_0) * ax + (ss - y_0) * ay) / (ax * ax + ay * ay), 0), 1) AS t FROM g), "
     "d AS (SELECT frame, term, ss, fs, sqrt(power(fs - x_0 - t * ax, 2) + power(ss - y_0 - t * ay, 2)) / 1.5 AS x FROM t), k AS (SELECT *, exp(-0.5 * power(3 * x, 2)) / sqrt(2 * pi()) AS gauss, 0.75 * (1 - x * x) AS para, 0.9375 * power(1 - x * x, 2) AS bi, 1 - x AS tri FROM d WHERE x <= 1) "
 )
 
+
 @query(DRAW + f"SELECT frame, ss, fs, {s6('sum(2 * bi)')} AS value FROM k WHERE x < 0.999999 GROUP BY ALL HAVING {s6('sum(2 * bi)')} > 0")
 def draw_lines(spark, sf_dir):
     return rounded(raster.draw_lines(strokes(spark, sf_dir), (12, 60), 2.0, "biweight", "sum"), "value").where("value > 0")
@@ -561,43 +525,11 @@ def pattern_image(spark, sf_dir):
     return raster.pattern_image(s, (12, 60), 1.5, num_modules=8)
 
 
-@query(DRAW + f"SELECT px.frame, ss, fs, {s6('px.v + coalesce(d.s, 0)')} AS value FROM (SELECT s_suppkey AS frame, ss, fs, 1.0 AS v FROM supplier, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs) WHERE s_suppkey <= 3) px LEFT JOIN (SELECT frame, ss, fs, sum(bi) AS s FROM k GROUP BY ALL) d USING (frame, ss, fs)")
+@query(DRAW + f"SELECT px.frame, ss, fs, {s6('px.v + coalesce(d.s, 0)')} AS value FROM (SELECT s_suppkey AS frame, ss, fs, 1.0 AS v FROM supplier, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs)) px LEFT JOIN (SELECT frame, ss, fs, sum(bi) AS s FROM k GROUP BY ALL) d USING (frame, ss, fs)")
 def draw_onto(spark, sf_dir):
-    blank = table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ss"))
-    blank = blank.withColumn("fs", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("value", F.lit(1.0))
-    return rounded(raster.onto(blank, raster.draw_lines(strokes(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
-
-
-# The five rasters over every order and, for draw_onto, every supplier's frame. The SQL of those above takes 1 order in 50.
-DRAW_ALL = DRAW.replace(" WHERE l_orderkey % 50 = 1", "")
-
-
-@query(DRAW_ALL + f"SELECT frame, ss, fs, {s6('sum(2 * bi)')} AS value FROM k WHERE x < 0.999999 GROUP BY ALL HAVING {s6('sum(2 * bi)')} > 0")
-def draw_lines_all(spark, sf_dir):
-    return rounded(raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 2.0, "biweight", "sum"), "value").where("value > 0")
-
-
-@query(DRAW_ALL + f"SELECT frame, ss, fs, {s6('max(tri)')} AS value FROM k GROUP BY ALL HAVING {s6('max(tri)')} > 0")
-def draw_lines_max_all(spark, sf_dir):
-    return rounded(raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "triangular", "max"), "value").where("value > 0")
-
-
-@query(DRAW_ALL + f", m AS (SELECT frame, term, ss, fs, max(para) AS value FROM k GROUP BY ALL) SELECT frame, ss, fs, {s6('sum(value)')} AS value FROM m GROUP BY ALL HAVING {s6('sum(value)')} > 0")
-def accumulate_lines_all(spark, sf_dir):
-    return rounded(raster.accumulate_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "parabolic", "max", "sum"), "value").where("value > 0")
-
-
-@query(DRAW_ALL + "SELECT frame * 8 + term AS frame, ss, fs, 1.0::DOUBLE AS value FROM k GROUP BY ALL")
-def pattern_image_all(spark, sf_dir):
-    s = every_stroke(spark, sf_dir).select(F.col("frame").alias("index"), F.col("term").alias("module_id"), "x_0", "y_0", "x_1", "y_1")
-    return raster.pattern_image(s, (12, 60), 1.5, num_modules=8)
-
-
-@query(DRAW_ALL + f"SELECT px.frame, ss, fs, {s6('px.v + coalesce(d.s, 0)')} AS value FROM (SELECT s_suppkey AS frame, ss, fs, 1.0 AS v FROM supplier, (SELECT unnest(range(0, 12))::INT AS ss), (SELECT unnest(range(0, 60))::INT AS fs)) px LEFT JOIN (SELECT frame, ss, fs, sum(bi) AS s FROM k GROUP BY ALL) d USING (frame, ss, fs)")
-def draw_onto_all(spark, sf_dir):
     blank = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ss"))
     blank = blank.withColumn("fs", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("value", F.lit(1.0))
-    return rounded(raster.onto(blank, raster.draw_lines(every_stroke(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
+    return rounded(raster.onto(blank, raster.draw_lines(strokes(spark, sf_dir), (12, 60), 1.0, "biweight", "sum"), (12, 60)), "value")
 
 
 @query(f"WITH {SEG} SELECT index, row, part, x_0, y_0, lead(x_0) OVER w AS x_1, lead(y_0) OVER w AS y_1 FROM seg WINDOW w AS (PARTITION BY index ORDER BY row, part, x_0, y_0)")
@@ -613,32 +545,15 @@ def streak_ranking(spark, sf_dir):
     return groups.ranking(rows, [F.desc("s"), "row", "part"]).drop("s")
 
 
-@query("WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS p FROM nation), b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer WHERE c_custkey < 25) SELECT p AS position, n_name, c_name FROM a JOIN b USING (p)")
-def positional_zip(spark, sf_dir):
-    a = table(spark, sf_dir, "nation").select("n_name")
-    b = table(spark, sf_dir, "customer").where("c_custkey < 25").select("c_custkey", "c_name")
-    return groups.positional_zip(a, ["n_name"], b, ["c_custkey"]).select("position", "n_name", "c_name")
-
-
 @query("WITH a AS (SELECT c_custkey AS richer, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer), b AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) SELECT position, richer, c_name FROM a JOIN b USING (position)")
-def positional_zip_all(spark, sf_dir):
-    """All customers by balance beside all by key, where positional_zip and its SQL take 25."""
+def positional_zip(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     a, b = c.select(F.col("c_custkey").alias("richer"), "c_acctbal"), c.select("c_custkey", "c_name")
     return groups.positional_zip(a, ["c_acctbal", "richer"], b, ["c_custkey"]).select("position", "richer", "c_name")
 
 
-@query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 AND frame < 50 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
-def project_background(spark, sf_dir):
-    fields = label_fields(spark, sf_dir)
-    good = fields.where("wf < 3").withColumn("comp", F.col("wf").cast("int"))
-    flat = fields.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
-    return rounded(stats.project(stats.lsq(frames(spark, sf_dir).where("frame < 50"), good), good, flat), "value")
-
-
 @query(f"WITH {PX}, {FIELDS}, flat AS (SELECT module, ss, fs, avg(value) AS b FROM wf GROUP BY ALL), c AS (SELECT frame, wf, sum(p.value * w.value) / sum(w.value * w.value) AS c FROM px p JOIN wf w USING (module, ss, fs) WHERE wf < 3 GROUP BY ALL) SELECT frame, module, ss, fs, {s6('b + sum(c * w.value)')} AS value FROM c JOIN wf w USING (wf) JOIN flat USING (module, ss, fs) GROUP BY frame, module, ss, fs, b")
-def project_background_all(spark, sf_dir):
-    """Of every frame, where project_background and its SQL take the first 50."""
+def project_background(spark, sf_dir):
     fields = label_fields(spark, sf_dir)
     good = fields.where("wf < 3").withColumn("comp", F.col("wf").cast("int"))
     flat = fields.groupBy(*PIXEL).agg(F.avg("value").alias("value"))
@@ -858,15 +773,15 @@ FINDER = cfg.StreakFinder(streaks=cfg.StreakGrowth(xtol=1.0, vmin=1.0, min_size=
 
 @query()
 def detect_streaks(spark, sf_dir):
-    px = frames(spark, sf_dir)
-    return rounded(pipelines.detect_streaks(px, metadata(px), FINDER), "x_0", "y_0", "x_1", "y_1", "log_p", "min_support")
+    made = pipelines.detect_streaks(blocks_of(spark, sf_dir), metadata(frames(spark, sf_dir)), FINDER, modules=1)
+    return rounded(made, "x_0", "y_0", "x_1", "y_1", "log_p", "min_support")
 
 
-@query()
+@query(f"{BASE}, {REG}, {MOM}, {AXIS} SELECT frame AS index, 0 AS module_id, {s6('cx + hw * cos(th)')} AS x_0, {s6('cy + hw * sin(th)')} AS y_0, {s6('cx - hw * cos(th)')} AS x_1, {s6('cy - hw * sin(th)')} AS y_1 FROM t")
 def detect_regions(spark, sf_dir):
     px = frames(spark, sf_dir)
     finder = cfg.RegionFinder(regions=cfg.Regions(vmin=1.25, npts=3))
-    return rounded(pipelines.detect_regions(px, metadata(px), finder), "x_0", "y_0", "x_1", "y_1")
+    return rounded(pipelines.detect_regions(blocks_of(spark, sf_dir), metadata(px), finder), "x_0", "y_0", "x_1", "y_1")
 
 
 @query(f"WITH {PX}, m AS (SELECT module, ss, fs, median(value) AS f, bool_and(value >= 60 AND value < 142) AS mask FROM px GROUP BY ALL) SELECT module, ss, fs, mask, {s6('CASE WHEN mask THEN sqrt(f) ELSE 0 END')} AS std, CASE WHEN mask THEN f ELSE 0 END AS flatfield FROM m")
@@ -887,12 +802,7 @@ LENS = indexing.Lens((0.0, 0.0, -0.11), (-0.0005, 0.0005, -0.0005, 0.0005), -0.1
 
 
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short streaks on a detector, two patterns of them."""
-    return streaks_of(table(spark, sf_dir, "supplier").where("s_suppkey <= 24"))
-
-
-def whole_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every supplier: two patterns for each 24 of them."""
+    """Two patterns of short streaks for each 24 suppliers."""
     return streaks_of(table(spark, sf_dir, "supplier"))
 
 
@@ -905,7 +815,7 @@ def streaks_of(supplier: DataFrame) -> DataFrame:
 
 
 SKY = (
-    "t AS (SELECT s_suppkey % 2 AS index, s_suppkey AS streak_id, s_suppkey * 2.399::DOUBLE AS an, 0.012::DOUBLE + s_suppkey * 0.0008::DOUBLE AS r FROM supplier WHERE s_suppkey <= 24), "
+    "t AS (SELECT 2 * ((s_suppkey - 1) // 24) + s_suppkey % 2 AS index, s_suppkey AS streak_id, s_suppkey * 2.399::DOUBLE AS an, 0.012::DOUBLE + ((s_suppkey - 1) % 24 + 1) * 0.0008::DOUBLE AS r FROM supplier), "
     "sky AS (SELECT index, streak_id, r * cos(an) - 0.002 * sin(an) AS x_0, r * sin(an) + 0.002 * cos(an) AS y_0, r * cos(an) + 0.002 * sin(an) AS x_1, r * sin(an) - 0.002 * cos(an) AS y_1 FROM t)"
 )
 CAPS = (
@@ -925,21 +835,312 @@ def uncertainty_caps(spark, sf_dir):
     return rounded(caps, "kx", "ky", "kz", "min_res", "max_res")
 
 
-@query(CAPS.replace("s_suppkey % 2 AS index", "2 * ((s_suppkey - 1) // 24) + s_suppkey % 2 AS index").replace("s_suppkey * 0.0008::DOUBLE", "((s_suppkey - 1) % 24 + 1) * 0.0008::DOUBLE").replace(" WHERE s_suppkey <= 24", ""))
-def uncertainty_caps_all(spark, sf_dir):
-    caps = indexing.patterns_to_uca(whole_sky(spark, sf_dir), LENS).select("index", "streak_id", "kx", "ky", "kz", "min_res", "max_res")
-    return rounded(caps, "kx", "ky", "kz", "min_res", "max_res")
-
-
 @query()
 def index_patterns(spark, sf_dir):
-    made = pipelines.index_patterns(whole_sky(spark, sf_dir), crystals(spark).where("index = 0"), LENS, cfg.Indexing(shape=(21, 21, 21), width=1.5, threshold=0.6, n_max=5), num_points=40)
+    made = pipelines.index_patterns(sky(spark, sf_dir), crystals(spark).where("index = 0"), LENS, cfg.Indexing(shape=(21, 21, 21), width=1.5, threshold=0.6, n_max=5), num_points=40)
     return rounded(made, *AXES)
 
 
-@query()
+# more of the operators: lists of regions, groups, numbers of points, projections, losses
+
+
+@query(DRAW + f"SELECT frame, ss, fs, {s6('sum(gauss)')} AS value FROM k GROUP BY ALL")
+def draw_lines_gaussian(spark, sf_dir):
+    return rounded(raster.draw_lines(strokes(spark, sf_dir), (12, 60), 1.0, "gaussian", "sum"), "value")
+
+
+@query(f"{BASE}, {REG}, k AS (SELECT frame, region, row_number() OVER (PARTITION BY frame ORDER BY region) AS k FROM (SELECT DISTINCT frame, region FROM reg WHERE region % 2 = 1)), l AS (SELECT frame, max(region) AS last FROM reg GROUP BY frame) SELECT frame, region, ss, fs FROM reg UNION ALL SELECT frame, k + last AS region, ss, fs FROM reg JOIN k USING (frame, region) JOIN l USING (frame)")
+def region_list(spark, sf_dir):
+    found = bright_regions(spark, sf_dir)
+    return regions.append_regions(found, regions.keep_regions(found, F.col("region") % 2 == 1)).select("frame", "region", "ss", "fs")
+
+
+@query(f"{BASE}, {REG}, l AS (SELECT frame, max(region) AS last FROM reg GROUP BY frame), w AS (SELECT frame, last AS region, 1 AS k FROM l UNION ALL SELECT frame, 1, 2 FROM l) SELECT frame, k::BIGINT AS region, ss, fs FROM reg JOIN w USING (frame, region)")
+def last_and_first_region(spark, sf_dir):
+    return regions.take_regions(bright_regions(spark, sf_dir), [-1, 1]).select("frame", "region", "ss", "fs")
+
+
+@query(f"SELECT p.* FROM ({ORACLES['detect_peaks']}) p JOIN (SELECT frame AS f, floor(count(*) * 0.6) AS most FROM ({ORACLES['detect_peaks']}) GROUP BY frame) ON frame = f WHERE rank <= most")
+def best_peaks(spark, sf_dir):
+    return regions.best_peaks(detect_peaks(spark, sf_dir), 0.6)
+
+
+@query("SELECT l_orderkey AS index, round((l_linenumber + l_linenumber + 2) / 2)::INT AS module_id, l_quantity AS x_0, l_tax AS y_0, l_quantity + 1 AS x_1, l_discount AS y_1 FROM lineitem")
+def lines_to_streaks(spark, sf_dir):
+    li, z = table(spark, sf_dir, "lineitem"), F.col("l_linenumber").cast("double")
+    found = li.select(F.col("l_orderkey").alias("frame"), F.col("l_quantity").alias("x_0"), F.col("l_tax").alias("y_0"), z.alias("z_0"), (F.col("l_quantity") + 1).alias("x_1"), F.col("l_discount").alias("y_1"), (z + 2).alias("z_1"))
+    return regions.lines_to_streaks(found)
+
+
+@query(f"WITH {SEG} SELECT index, count(*)::INT AS n, max(x_1) - min(x_0) AS span FROM seg GROUP BY index")
+def per_group(spark, sf_dir):
+    def spans(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"index": rows["index"].iloc[:1], "n": [len(rows)], "span": [rows.x_1.max() - rows.x_0.min()]})
+
+    return groups.per_group(lines(spark, sf_dir).select("index", "x_0", "x_1"), spans, "index long, n int, span double")
+
+
+@query(f"WITH {SEG} SELECT index, row, part, x_0 + 1 AS x_0, -y_0 AS y_0, x_1, y_1 FROM seg")
+def replace_columns(spark, sf_dir):
+    return groups.replace(lines(spark, sf_dir), x_0=F.col("x_0") + 1, y_0=-F.col("y_0"))
+
+
+@query(f"WITH {SEG}, h AS (SELECT index FROM seg GROUP BY index HAVING count(*) > 4) SELECT index, row, part, o_custkey AS pulse_id FROM seg JOIN h USING (index) LEFT JOIN orders ON o_orderkey = index AND o_orderstatus = 'F'")
+def detect_hits(spark, sf_dir):
+    pulses = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("frame"), F.col("o_custkey").alias("pulse_id"))
+    return pipelines.detect_hits(lines(spark, sf_dir), 4, pulses).select("index", "row", "part", "pulse_id")
+
+
+_P = ORACLES["p_values"]
+_P_FULL = _P.rpartition("SELECT frame, region, n, k")[0] + f"SELECT frame, region, n, k, CASE WHEN k = 0 THEN 0 ELSE ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END AS lp, any_value(p) AS p FROM q GROUP BY frame, region, n, k"
+
+
+@query(f"SELECT frame, region, {s6('CASE WHEN p > 0 AND p < 1 THEN lp / ln(p) ELSE 0 END')} AS min_support FROM ({_P_FULL})")
+def min_support(spark, sf_dir):
+    found = bright_regions(spark, sf_dir)
+    p = regions.p_values(found, regions.line_fit(regions.measures(found)), regions.signal_share(signal(spark, sf_dir), 1.5), 1.5, 0.5)
+    return rounded(p.select("frame", "region", "min_support"), "min_support")
+
+
+@query("SELECT l_orderkey AS o, l_linenumber AS n, (l_orderkey % 5 * 6 + l_partkey % 6) * 7 + l_linenumber % 7 AS number, l_orderkey % 5 AS z, l_partkey % 6 AS y, (l_linenumber % 7)::BIGINT AS x, ((l_linenumber - 4) % 3 + 3) % 3 AS back, l_orderkey % 5 < 4 AND l_partkey % 6 - 1 BETWEEN 0 AND 2 AS inside FROM lineitem")
+def pixel_numbers(spark, sf_dir):
+    at = (F.col("l_orderkey") % 5, F.col("l_partkey") % 6, (F.col("l_linenumber") % 7).cast("long"))
+    li = table(spark, sf_dir, "lineitem").withColumn("number", indices.linear(at, (5, 6, 7)))
+    z, y, x = indices.point(F.col("number"), (5, 6, 7))
+    back, there = indices.modulo(F.col("l_linenumber") - 4, 3), indices.inside((at[0], at[1] - 1), (4, 3))
+    return li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "number", z.alias("z"), y.alias("y"), x.alias("x"), back.alias("back"), there.alias("inside"))
+
+
+@query(f"WITH {ANG} SELECT i, CASE WHEN b > 1 THEN {s6('sqrt(b - 1)')} ELSE 0 END AS root, CASE WHEN i % 89 = 0 THEN 0 ELSE {s6('b / a')} END AS ratio, {s6('least(greatest(a, 1.0), 2.0)')} AS rx, {s6('least(greatest(b, 0.5), 1.5)')} AS ry, {s6('2 + b * cos(c) * 0.6 + b * sin(c) * -0.8')} AS cx, {s6('3 + b * cos(c) * 0.8 + b * sin(c) * 0.6')} AS cy FROM an")
+def safe_and_circles(spark, sf_dir):
+    p = v.project_to_rect(v.columns("a", "b"), (1.0, 0.5), (2.0, 1.5))
+    lit = lambda *x: tuple(map(F.lit, x))
+    c = v.circle(F.col("b"), lit(2.0, 3.0), lit(0.6, 0.8), lit(-0.8, 0.6), F.col("c"))
+    rows = angles(spark, sf_dir).select("i", v.safe_sqrt(F.col("b") - 1).alias("root"), v.safe_divide(F.col("b"), F.col("a")).alias("ratio"), p[0].alias("rx"), p[1].alias("ry"), c[0].alias("cx"), c[1].alias("cy"))
+    return rounded(rows, "root", "ratio", "rx", "ry", "cx", "cy")
+
+
+@query(f"WITH {ANG} SELECT i, {s6('b')} AS theta, {s6('c / 2')} AS alpha, {s6('0.1 + a / 4')} AS beta FROM an WHERE b < 3 AND c / 2 BETWEEN 0.1 AND 3")
+def tilt_angles(spark, sf_dir):
+    rows = angles(spark, sf_dir).where("b < 3 and c / 2 between 0.1 and 3")
+    found = v.tilt_angles(v.tilt_matrix(F.col("b"), F.col("c") / 2, 0.1 + F.col("a") / 4))
+    return rounded(rows.select("i", *(x.alias(n) for x, n in zip(found, ("theta", "alpha", "beta"), strict=True))), "theta", "alpha", "beta")
+
+
+@query(f"WITH {HKL}, b AS (SELECT DISTINCT h, k, l FROM q WHERE sqrt(qx * qx + qy * qy + qz * qz) < 0.3), n AS (SELECT index, h, k, l, qx, qy, qz, sqrt(qx * qx + qy * qy + qz * qz) AS s FROM q JOIN b USING (h, k, l)) SELECT index::BIGINT AS index, h, k, l FROM n WHERE abs(acos(greatest(-1, least(1, -qz / s))) - acos(0.5 * s)) < 0.2")
+def hkl_in_aperture(spark, sf_dir):
+    xtals = crystals(spark)
+    rlp = indexing.hkl_range(indexing.hkl_in_ball(spark, xtals, 0.3), xtals, [0, 1])
+    return indexing.hkl_in_aperture(rlp, 0.2).select("index", "h", "k", "l")
+
+
+WIDE = indexing.Lens((0.0, 0.0, -0.1), (-0.02, 0.02, -0.02, 0.02))
+_EDGE = "0.02 / sqrt(0.0108)"
+_SIDES = f"e(n, px, py, dx, dy) AS (SELECT n, px * {_EDGE}, py * {_EDGE}, dx * 2 * {_EDGE}, dy * 2 * {_EDGE} FROM (VALUES (0, -1, 1, 1, 0), (1, 1, 1, 0, -1), (2, 1, -1, -1, 0), (3, -1, -1, 0, 1)) s(n, px, py, dx, dy))"
+
+
+@query(
+    f"WITH {HKL}, {_SIDES}, p AS (SELECT DISTINCT h, k, l, qx, qy, qz, qx * qx + qy * qy + qz * qz AS s FROM q WHERE index = 0 AND sqrt(qx * qx + qy * qy + qz * qz) < 0.3), "
+    "f AS (SELECT *, -s / 2 - qx * px - qy * py AS f1, qx * dx + qy * dy AS f2 FROM p, e), "
+    "quad AS (SELECT *, f2 * f2 + qz * qz * (dx * dx + dy * dy) AS a, f1 * f2 - qz * qz * (px * dx + py * dy) AS b, f1 * f1 - qz * qz * (1 - px * px - py * py) AS c FROM f), "
+    "r AS (SELECT *, unnest([0, 1]) AS side FROM quad), t AS (SELECT *, (b + (2 * side - 1) * sqrt(greatest(b * b - a * c, 0))) / CASE WHEN a = 0 THEN 1 ELSE a END AS t FROM r), "
+    "w AS (SELECT *, px + t * dx AS kx, py + t * dy AS ky FROM t), z AS (SELECT *, sqrt(greatest(1 - kx * kx - ky * ky, 0)) AS kz FROM w), "
+    "m AS (SELECT *, abs(kx * qx + ky * qy + kz * qz + s / 2) AS gap FROM z), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY h, k, l ORDER BY side, n) - 1 AS ends, count(*) OVER (PARTITION BY h, k, l) AS many FROM m WHERE t BETWEEN 0 AND 1 AND gap <= 2e-6) "
+    f'SELECT 0::BIGINT AS index, h, k, l, {s6("qx")} AS qx, {s6("qy")} AS qy, {s6("qz")} AS qz, ends::INT AS "end", {s6("kx")} AS kx, {s6("ky")} AS ky, {s6("kz")} AS kz, {s6("kx + qx")} AS kout_x, {s6("ky + qy")} AS kout_y, {s6("kz + qz")} AS kout_z FROM o WHERE many >= 2 AND ends < 2'
+)
 def laue_source_lines(spark, sf_dir):
     xtals = crystals(spark).where("index = 0")
     rlp = indexing.hkl_range(indexing.hkl_in_ball(spark, xtals, 0.3), xtals, [0])
-    wide = indexing.Lens((0.0, 0.0, -0.1), (-0.02, 0.02, -0.02, 0.02))
-    return rounded(indexing.source_lines(rlp, wide), "kx", "ky", "kz", "kout_x", "kout_y", "kout_z")
+    return rounded(indexing.source_lines(rlp, WIDE), "qx", "qy", "qz", "kx", "ky", "kz", "kout_x", "kout_y", "kout_z")
+
+
+@query(f"WITH {ANG}, k AS (SELECT i, (a - 3) / 20 AS x, (b - 1.5) / 20 AS y, 0.98 + c / 300 AS z FROM an), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM k), p AS (SELECT *, least(greatest(x / n, -{_EDGE}), {_EDGE}) AS px, least(greatest(y / n, -{_EDGE}), {_EDGE}) AS py FROM u) SELECT i AS streak_id, {s6('avg(abs(px - x) + abs(py - y) + abs(sqrt(1 - px * px - py * py) - z))')} AS loss FROM p GROUP BY i")
+def pupil_losses(spark, sf_dir):
+    kin = angles(spark, sf_dir).select(F.lit(0).alias("index"), F.col("i").alias("streak_id"), *(F.lit(1).alias(c) for c in "hkl"), ((F.col("a") - 3) / 20).alias("kin_x"), ((F.col("b") - 1.5) / 20).alias("kin_y"), (0.98 + F.col("c") / 300).alias("kin_z"))
+    return rounded(indexing.pupil_loss(kin, WIDE).select("streak_id", "loss"), "loss")
+
+
+@query(f"WITH {SEG} SELECT index, row * 1000000 + part AS streak_id, p AS point, {s6('x_0 + p / 3 * (x_1 - x_0)')} AS x, {s6('y_0 + p / 3 * (y_1 - y_0)')} AS y FROM seg, (SELECT unnest(range(0, 4))::INT AS p)")
+def sample_points(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("streak_id", F.col("row") * 1000000 + F.col("part"))
+    return rounded(indexing.sample_points(rows, 4), "x", "y")
+
+
+@query(f"WITH {HKL}, m AS (SELECT p_partkey % 2 AS index, p_partkey // 6 AS streak_id, (p_size % 3)::INT AS h, (p_partkey % 3)::INT AS k, 1 AS l FROM part), j AS (SELECT m.*, sqrt(qx * qx + qy * qy + qz * qz) AS s FROM m JOIN q USING (index, h, k, l)), inside AS (SELECT index, streak_id FROM j GROUP BY ALL HAVING max(s) < 0.28) SELECT index, streak_id, h, k, l FROM m JOIN inside USING (index, streak_id)")
+def keep_in_shell(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).alias("index"), F.expr("p_partkey div 6").alias("streak_id"), (F.col("p_size") % 3).cast("int").alias("h"), (F.col("p_partkey") % 3).cast("int").alias("k"), F.lit(1).alias("l"))
+    return indexing.keep_in_shell(p, crystals(spark), 0.28).select("index", "streak_id", "h", "k", "l")
+
+
+@query("SELECT z::INT AS z, y::INT AS y, x::INT AS x, z * 0.2 - 1 AS pz, y * 0.2 - 1 AS py, x * 0.2 - 1 AS px FROM (SELECT unnest(range(0, 11)) AS z), (SELECT unnest(range(0, 11)) AS y), (SELECT unnest(range(0, 11)) AS x)")
+def rotation_grid(spark, sf_dir):
+    return rounded(indexing.rotogrid(spark, 11), "pz", "py", "px")
+
+
+ROTO = (
+    "WITH s AS (SELECT s_suppkey // 10 AS index, s_suppkey % 3 AS term, ((s_suppkey % 7) * 0.2 - 0.6 + 1) / 0.2 AS x_0, ((s_suppkey % 5) * 0.2 - 0.4 + 1) / 0.2 AS y_0, ((s_suppkey % 4) * 0.2 - 0.4 + 1) / 0.2 AS z_0, ((s_suppkey % 3) * 0.3 - 0.2 + 1) / 0.2 AS x_1, 1.3 / 0.2 AS y_1, ((s_suppkey % 2) * 0.4 + 1) / 0.2 AS z_1 FROM supplier), "
+    "g AS (SELECT *, x_1 - x_0 AS ax, y_1 - y_0 AS ay, z_1 - z_0 AS az FROM s, (SELECT unnest(range(0, 11))::INT AS z), (SELECT unnest(range(0, 11))::INT AS y), (SELECT unnest(range(0, 11))::INT AS x)), "
+    "t AS (SELECT *, CASE WHEN ax * ax + ay * ay + az * az > 0 THEN least(greatest(((x - x_0) * ax + (y - y_0) * ay + (z - z_0) * az) / (ax * ax + ay * ay + az * az), 0), 1) ELSE 0 END AS t FROM g), "
+    "d AS (SELECT *, sqrt(power(x - x_0 - t * ax, 2) + power(y - y_0 - t * ay, 2) + power(z - z_0 - t * az, 2)) / 1.7 AS r FROM t), "
+    "m AS (SELECT index, term, z, y, x, max(exp(-0.5 * power(3 * r, 2)) / sqrt(2 * pi())) AS value FROM d WHERE r <= 1 GROUP BY ALL) "
+)
+
+
+@query(ROTO + f"SELECT index, z, y, x, {s6('sum(value)')} AS value FROM m GROUP BY ALL")
+def rotation_map(spark, sf_dir):
+    k = F.col("s_suppkey")
+    ends = {"x_0": (k % 7) * 0.2 - 0.6, "y_0": (k % 5) * 0.2 - 0.4, "z_0": (k % 4) * 0.2 - 0.4, "x_1": (k % 3) * 0.3 - 0.2, "y_1": F.lit(0.3), "z_1": (k % 2) * 0.4}
+    curves = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("index"), (k % 3).alias("streak_id"), *(x.alias(c) for c, x in ends.items()))
+    return rounded(indexing.rotomap(curves, 11, 1.7), "value")
+
+
+def _turned(i: int, row: str) -> str:
+    """One component of a crystal's axis turned by t about the unit axis (nx, ny, nz)."""
+    c = "xyz"[i]
+    return s6(f"{row}{c} * cos(t) + n{c} * ({row}x * nx + {row}y * ny + {row}z * nz) * (1 - cos(t)) - (n{'xyz'[(i + 1) % 3]} * {row}{'xyz'[(i + 2) % 3]} - n{'xyz'[(i + 2) % 3]} * {row}{'xyz'[(i + 1) % 3]}) * sin(t)")
+
+
+@query(
+    f"WITH {X_SQL}, t AS (SELECT s_suppkey AS index, 0.01 * s_suppkey::DOUBLE AS t, 0.36::DOUBLE AS nx, 0.48::DOUBLE AS ny, 0.8::DOUBLE AS nz FROM supplier), o AS (SELECT * EXCLUDE (index) FROM x WHERE index = 0) SELECT index, 0 AS peak, "
+    + ", ".join(f"{_turned(i, f'{a}_')} AS {a}_{c}" for a in "abc" for i, c in enumerate("xyz"))
+    + " FROM t, o"
+)
+def solutions(spark, sf_dir):
+    tilts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("index"), F.lit(0).alias("peak"), (0.01 * F.col("s_suppkey")).alias("theta"), F.lit(0.36).alias("ax"), F.lit(0.48).alias("ay"), F.lit(0.8).alias("az"))
+    return rounded(indexing.solutions(tilts, crystals(spark).where("index = 0")), *AXES)
+
+
+@query(f"WITH {ANG}, r AS (SELECT i, (a - 3) / 40 AS x, (b - 1.5) / 40 AS y FROM an), u AS (SELECT *, sqrt(1 - x * x - y * y) AS z FROM r) SELECT i, {s6('0.001 + x / z * 0.15')} AS sx, {s6('0.002 + y / z * 0.15')} AS sy, -0.05::DOUBLE AS sz, {s6('0.003')} AS zero_x, {s6('0.004')} AS zero_y FROM u")
+def lens_rays(spark, sf_dir):
+    lens = indexing.Lens((0.001, 0.002, -0.2), (0.002, 0.006, 0.001, 0.005), -0.05)
+    k = v.kxy_to_k((F.col("a") - 3) / 40, (F.col("b") - 1.5) / 40)
+    zero = lens.zero_order()
+    rows = angles(spark, sf_dir).select("i", *(x.alias(c) for x, c in zip(lens.kin_to_sample(k), ("sx", "sy", "sz"), strict=True)), F.lit(zero[0]).alias("zero_x"), F.lit(zero[1]).alias("zero_y"))
+    return rounded(rows, "sx", "sy", "sz", "zero_x", "zero_y")
+
+
+# images and fields
+
+
+@query(f"WITH {PX}, {FIELDS}, m AS (SELECT module, ss, fs, ss <> 3 AS mask FROM px GROUP BY ALL), w AS (SELECT wf, module, ss, fs, CASE WHEN mask THEN value ELSE 0 END AS value FROM wf JOIN m USING (module, ss, fs)) SELECT module, ss, fs, mask, CASE WHEN mask THEN 2.0 ELSE 0 END::DOUBLE AS std, {s6('avg(value)')} AS flatfield FROM w JOIN m USING (module, ss, fs) GROUP BY ALL")
+def import_whitefields(spark, sf_dir):
+    fields = label_fields(spark, sf_dir)
+    meta = fields.select(*PIXEL).distinct().withColumns({"mask": F.col("ss") != 3, "std": F.lit(2.0), "flatfield": F.lit(None).cast("double")})
+    return rounded(pixels.import_data(fields, meta)[1].select(*PIXEL, "mask", "std", "flatfield"), "flatfield")
+
+
+SCALED = (
+    f"WITH {PX}, {META}, {FIELDS}, f AS (SELECT wf, module, ss, fs, value AS w FROM wf WHERE wf IN (0, 2)), "
+    "c AS (SELECT frame, wf, sum((value - flatfield) * w) / sum(w * w) AS c FROM px JOIN meta USING (module, ss, fs) JOIN f USING (module, ss, fs) GROUP BY ALL), "
+    "b AS (SELECT frame, module, ss, fs, sum(c * w) AS b FROM c JOIN f USING (wf) GROUP BY ALL) "
+    f"SELECT frame, module, ss, fs, {s6('(value - flatfield - b) / std')} AS value FROM px JOIN meta USING (module, ss, fs) JOIN b USING (frame, module, ss, fs)"
+)
+
+
+def good_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_fields(spark, sf_dir).withColumn("comp", F.col("wf").cast("int"))
+
+
+@query(SCALED)
+def scale_background(spark, sf_dir):
+    px = frames(spark, sf_dir)
+    return rounded(pipelines.signal(px, metadata(px), cfg.Scaling(method="lsq", good_fields=(0, 2)), 0.0, good_fields(spark, sf_dir)), "value")
+
+
+@query(SCALED)
+def scale_background_blocks(spark, sf_dir):
+    """The same from frames in the block layout, whose pixels stay in arrays to the end."""
+    made = pipelines.signal_blocks(blocks_of(spark, sf_dir), metadata(frames(spark, sf_dir)), cfg.Scaling(method="lsq", good_fields=(0, 2)), 0.0, good_fields(spark, sf_dir))
+    return rounded(to_long(made), "value")
+
+
+@query(f"{BASE} SELECT frame, module, ss, fs, {s6('value')} AS value FROM snr")
+def snr_blocks(spark, sf_dir):
+    made = pipelines.signal_blocks(blocks_of(spark, sf_dir), metadata(frames(spark, sf_dir)), cfg.Scaling(), 0.0)
+    return rounded(to_long(made), "value")
+
+
+@query(
+    f"WITH {PX}, {FIELDS}, t AS (SELECT wf % 2 AS wf, module, ss, fs, avg(value) - 100 AS d FROM wf GROUP BY ALL), g AS (SELECT sum(p.d * p.d) AS a, sum(p.d * q.d) AS b, sum(q.d * q.d) AS c FROM t p JOIN t q USING (module, ss, fs) WHERE p.wf = 0 AND q.wf = 1), "
+    "v AS (SELECT (a + c) / 2 AS m, sqrt(power((a - c) / 2, 2) + b * b) AS r FROM g) "
+    f"SELECT 0 AS comp, {s6('(m - r) / (2 * m)')} AS ratio, {s6('m - r')} AS energy FROM v UNION ALL SELECT 1, {s6('(m + r) / (2 * m)')}, {s6('m + r')} FROM v"
+)
+def pca_of_two(spark, sf_dir):
+    fields = label_fields(spark, sf_dir).withColumn("wf", F.col("wf") % 2).groupBy("wf", *PIXEL).agg(F.avg("value").alias("value"))
+    eigen, ratios = stats.pca(fields, fields.groupBy(*PIXEL).agg(F.lit(100.0).alias("value")))
+    energy = eigen.groupBy("comp").agg(F.sum(F.col("value") * F.col("value")).alias("energy"))
+    return rounded(ratios.join(energy, "comp"), "ratio", "energy")
+
+
+@query(f"WITH {PX}, w AS (SELECT frame // 25 AS wf, module, ss, fs, avg(value) AS value FROM px WHERE frame < (SELECT (max(frame) + 1) // 25 * 25 FROM px) GROUP BY ALL) SELECT module, ss, fs, {s6('avg(value)')} AS flatfield, {s6('sqrt(avg(value))')} AS std FROM w GROUP BY ALL")
+def metalist_fields(spark, sf_dir):
+    px = frames(spark, sf_dir)
+    n = px.agg(F.max("frame")).first()[0] + 1
+    merged, _, _, _ = pipelines.create_metalist(px, n, 25, 25, cfg.Metadata(background=cfg.Background("mean-poisson")))
+    return rounded(merged.select(*PIXEL, "flatfield", "std"), "flatfield", "std")
+
+
+# runs of files in the shared folder
+
+
+def run_folder(spark: SparkSession, sf_dir: str, tag: str, keep: Column | None = None) -> str:
+    """The frames as a run of parquet files in the order of their numbers."""
+    folder = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    rows = blocks_of(spark, sf_dir).where(F.lit(True) if keep is None else keep).withColumnRenamed("frame", "row")
+    bad = F.transform("pixels", lambda x, i: F.when((i == 5) & (F.col("row") % 3 == 0), F.lit(float("nan"))).otherwise(x))
+    rows.withColumn("pixels", bad).repartitionByRange(4, "row").sortWithinPartitions("row").write.parquet(folder)
+    return folder
+
+
+_RUN = "100 * (1 + embedding[i]::DOUBLE)"
+
+
+@query(f"SELECT vec_id AS frame, 0 AS module, ((i - 1) // 8)::INT AS ss, ((i - 1) % 8)::INT AS fs, CASE WHEN i = 6 AND vec_id % 3 = 0 THEN 0 ELSE {s6(_RUN)} END AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+def run_frames(spark, sf_dir):
+    index = runs.build_index(spark, run_folder(spark, sf_dir, "run"))
+    return rounded(to_long(runs.load(spark, index)), "value")
+
+
+@query(f"SELECT vec_id AS frame, 0 AS module, ((i - 1) // 8 - 2)::INT AS ss, ((i - 1) % 8 - 1)::INT AS fs, CASE WHEN i = 6 AND vec_id % 3 = 0 THEN 0 ELSE {s6(_RUN)} END AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT max(vec_id) AS last FROM embeddings) WHERE vec_id IN (1, 7, last) AND (i - 1) // 8 BETWEEN 2 AND 4 AND (i - 1) % 8 BETWEEN 1 AND 5")
+def run_rectangle(spark, sf_dir):
+    """Three frames, the last by a negative number, and a rectangle of their pixels."""
+    index = runs.build_index(spark, run_folder(spark, sf_dir, "run"))
+    return rounded(to_long(runs.load(spark, index, [1, 7, -1], (2, 5, 1, 6))), "value")
+
+
+@query(f"SELECT vec_id // 2 AS frame, (vec_id % 2)::INT AS module, sum(CASE WHEN i = 6 AND vec_id % 3 = 0 THEN 0 ELSE {s6(_RUN)} END) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL")
+def run_modules(spark, sf_dir):
+    """A run with a folder of files for each module: even vectors are module 0, odd ones module 1."""
+    folders = [run_folder(spark, sf_dir, f"module-{k}", F.col("frame") % 2 == k) for k in (0, 1)]
+    pixels_ = to_long(runs.load_modules(spark, runs.zip_modules(spark, folders)))
+    return pixels_.groupBy("frame", "module").agg(F.sum(r6("value")).alias("total"))
+
+
+@query(f"WITH {PX}, {MAP}, lo AS (SELECT min(x) AS lx, min(y) AS ly FROM mp), i AS (SELECT ss, fs, (y - ly)::INT AS row, (x - lx)::INT AS col FROM mp, lo), z AS (SELECT frame, row, col, arg_max(value, ss * 8 + fs) AS value FROM px JOIN i USING (ss, fs) GROUP BY ALL), e AS (SELECT max(row) AS h, max(col) AS w FROM i) SELECT frame, 0 AS module, row AS ss, col AS fs, {s6('value')} AS value FROM z")
+def full_images(spark, sf_dir):
+    """Frames assembled from arrays at the scan; places without a pixel are 0 there and left out here, as in the SQL."""
+    made = to_long(runs.assembled(blocks_of(spark, sf_dir), panels(spark)))
+    return rounded(made.where("value <> 0"), "value")
+
+
+@query("SELECT vec_id AS frame, count(*) AS n, sum(CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 100 * (1 + embedding[1]::DOUBLE) END) AS first FROM embeddings GROUP BY ALL")
+def run_insert(spark, sf_dir):
+    """A table of frames of which one in ten is written anew."""
+    path = f"{shared_root(spark)}/frames-{uuid.uuid4().hex}"
+    block = blocks_of(spark, sf_dir)
+    runs.save(block, path)
+    runs.save(block.where("frame % 10 = 0").withColumn("pixels", F.transform("pixels", lambda x: F.lit(1.0))), path, "insert")
+    return spark.read.parquet(path).groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.get("pixels", F.lit(0))).alias("first"))
+
+
+@query("SELECT l_orderkey AS index, l_linenumber AS row FROM lineitem")
+def compile_tables(spark, sf_dir):
+    """Streak tables of three chunks as one."""
+    root = f"{shared_root(spark)}/chunks-{uuid.uuid4().hex}"
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("index"), F.col("l_linenumber").alias("row"))
+    for k in range(3):
+        li.where(F.col("index") % 3 == k).write.parquet(f"{root}/{k}")
+    return runs.compile_tables(spark, [f"{root}/{k}" for k in range(3)], f"{root}/all")

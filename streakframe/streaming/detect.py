@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streakframe.config import StreakFinder
+from streakframe.operators import blocks
 from streakframe.plans.pipelines import streaks_of
 from streakframe.session import ship
 
 
 def snr_blocks(frames: DataFrame, meta: DataFrame, std_min: float = 0.0) -> DataFrame:
-    """(frame, modules) of a stream of one-module frames (frame, module, n_ss, n_fs, pixels) as signal-to-noise.
+    """(frame, modules) of a stream as signal-to-noise.
 
-    meta: (module, flatfield, std, mask) with arrays in row-major order, one row for each module; a static, small side.
+    frames: one-module frames (frame, module, n_ss, n_fs, pixels), or whole frames (frame, modules) with such modules in an
+    array, as a stream has no later row to wait for. meta: of blocks.meta_blocks; a static, small side.
     """
-    joined = frames.join(meta, "module")
-    noise = lambda s: F.greatest(s, F.lit(float(std_min)))
-    parts = F.arrays_zip("pixels", "flatfield", "std", "mask")
-    value = F.transform(
-        parts, lambda p: F.when(noise(p["std"]) > 0, (F.nanvl(p["pixels"], F.lit(0.0)) * p["mask"].cast("double") - p["flatfield"]) / noise(p["std"])).otherwise(0.0)
-    )
-    return joined.select("frame", F.array(F.struct("module", "n_ss", "n_fs", value.alias("pixels"))).alias("modules"))
+    if "modules" in frames.columns:
+        return blocks.snr_of_frames(frames, meta, std_min)
+    return blocks.gathered(blocks.snr(frames, meta, std_min), 1)
 
 
 def detect(frames: DataFrame, meta: DataFrame, config: StreakFinder) -> DataFrame:

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_region_has_its_fits(spark):
     wanted = {(r.frame, r.region) for r in QUERIES["label_regions"](spark, SF).select("frame", "region").distinct().collect()}
-    for name in ("line_fit_all", "ellipse_fit_all", "p_values_all"):
+    for name in ("line_fit", "ellipse_fit", "p_values"):
         rows = QUERIES[name](spark, SF).select("frame", "region").collect()
         assert len(rows) == len(wanted) and {tuple(r) for r in rows} == wanted, name
 
@@ -69,24 +69,24 @@ def test_every_segment_is_drawn_on_every_frame(spark):
         t = np.clip(((fs - x) * ax + (ss - y) * ay) / (ax * ax + ay * ay), 0, 1)
         far = np.hypot(fs - x - t * ax, ss - y - t * ay) / 1.5
         want += np.where(far <= 1, 15 / 16 * (1 - far**2) ** 2, 0)
-    for name, base, times in (("draw_lines_all", 0, 2), ("draw_onto_all", 1, 1)):
+    for name, base, times in (("draw_lines", 0, 2), ("draw_onto", 1, 1)):
         got = np.full((12, 60), float(base))
         for r in QUERIES[name](spark, SF).where("frame = 4").collect():
             got[r.ss, r.fs] = r.value
         assert np.allclose(got, base + times * want, atol=2e-6), name
-    assert QUERIES["draw_onto_all"](spark, SF).count() == 720 * spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert QUERIES["draw_onto"](spark, SF).count() == 720 * spark.read.parquet(f"{SF}/supplier.parquet").count()
 
 
 def test_every_supplier_is_a_streak_and_patterns_grow_with_them(spark):
     sf = SF.replace("sf0.001", "sf0.01")
-    caps = QUERIES["uncertainty_caps_all"](spark, sf).toPandas()
+    caps = QUERIES["uncertainty_caps"](spark, sf).toPandas()
     assert len(caps) == spark.read.parquet(f"{sf}/supplier.parquet").count() == 100 and caps["index"].nunique() == 10
     assert {r[0] for r in QUERIES["index_patterns"](spark, sf).select("index").distinct().collect()} == set(caps["index"])
 
 
 def test_every_frame_has_its_background(spark):
     frames = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    got = QUERIES["project_background_all"](spark, SF)
+    got = QUERIES["project_background"](spark, SF)
     assert frames > 50 and got.count() == 64 * frames and got.select("frame").distinct().count() == frames
 
 
@@ -111,6 +111,6 @@ def test_metalist_takes_all_frames(spark):
 def test_every_order_and_customer_is_looked_up(spark):
     orders, lineitem, customer = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem", "customer"))
     wanted = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "left_semi").count()
-    assert QUERIES["get_index_all"](spark, SF).count() == wanted
-    rows = QUERIES["positional_zip_all"](spark, SF).toPandas()
+    assert QUERIES["get_index"](spark, SF).count() == wanted
+    rows = QUERIES["positional_zip"](spark, SF).toPandas()
     assert sorted(rows.position) == list(range(customer.count())) and rows.richer.is_unique and rows.c_name.is_unique
