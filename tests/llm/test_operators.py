@@ -434,12 +434,13 @@ def plain_lm(texts):
     return count, given
 
 
-def test_lm_is_kneser_ney(spark, documents, odd):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_lm_is_kneser_ney(spark, documents, odd, most):
     rows = documents.head(60)
     df = spark.createDataFrame([(int(i), t, None, None, 0) for i, t in zip(rows.doc_id, rows.text, strict=True)], SCHEMA).unionByName(odd.select(SCHEMA.replace(" long", "").replace(" string", "").split(", ")))
     held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(True))
-    model = lm.train(spark, df.where(~held), shard_bytes=20_000)
-    assert model.shards > 4
+    model = lm.train(spark, df.where(~held), shard_bytes=20_000, most=most)
+    assert model.shards > 4 and model.shards % -(-model.shards // most) == 0
     all_rows = df.withColumn("h", held).select("doc_id", "text", "h").collect()
     count, given = plain_lm([r.text for r in all_rows if not r.h])
     n, v = sum(count.values()), len(count)
@@ -473,3 +474,33 @@ def test_license_scan_finds_a_notice_beside_a_lesser_hash(spark):
     """The first words' hash shares 21 bits with that of the MIT notice, and is less."""
     df = spark.createDataFrame([(1, "w1067378 and so it goes Released under the MIT License")], "doc_id long, text string")
     assert [r.license for r in licenses.scan(spark, df).collect()] == ["MIT"]
+
+
+def test_lm_keys_that_share_their_first_part():
+    """Words whose keys agree in 40 bits share pairs, those that agree in fewer don't; look-ups go along equal first columns."""
+    draw = np.random.default_rng(5)
+    word = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
+    close = np.concatenate([word, word ^ np.uint64(1 << 30), word ^ np.uint64(1 << 3)])
+    before, key = np.repeat(word[:5], len(close)), np.tile(close, 5)
+    high, low = lm.pairs(before, key)
+    assert len(np.unique(high)) == 5 * 40 and len(set(zip(high.tolist(), low.tolist(), strict=True))) == 5 * 80
+    h, lo, n = lm._summed_pairs(high, low, np.ones(len(high), np.uint32))
+    assert n.sum() == len(high) and len(h) == 5 * 80 and (np.diff(h.astype(float)) >= 0).all()
+    first, second = lm._contexts(h, lo)
+    assert set(first.tolist()) == {int(w) >> 24 for w in word[:5]} and set(second.tolist()) == {int(w) >> 24 for w in close}
+    model = lm.Model("nowhere", 1, there=frozenset(["pair-0"]), open={"pair-0": [h, lo, n]})
+    (found,) = model.look_up("pair", high, np.zeros(len(high), np.uint64), 1, low)
+    want = {(a, b): c for a, b, c in zip(h.tolist(), lo.tolist(), n.tolist(), strict=True)}
+    assert found.tolist() == [want[x] for x in zip(high.tolist(), low.tolist(), strict=True)]
+    (none,) = model.look_up("pair", high, np.zeros(len(high), np.uint64), 1, low ^ np.uint16(9))
+    assert not none.any()
+
+
+def test_workers_close_shards(tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "OPEN_BYTES", 10_000)
+    model = lm.Model(str(tmp_path), 6, there=frozenset(f"word-{k}" for k in range(6)))
+    for k in range(6):
+        lm._write(f"{tmp_path}/word-{k}", np.arange(k, 3_000, 6, dtype=np.uint64), np.arange(500, dtype=np.uint32) + k)
+    keys = np.arange(600, dtype=np.uint64)
+    (found,) = model.look_up("word", keys, keys % 6, 1)
+    assert found.tolist() == [k // 6 + k % 6 for k in range(600)] and 1 <= len(model.open) <= 2
