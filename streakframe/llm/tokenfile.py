@@ -28,6 +28,8 @@ from streakframe.llm.tokens import encoder
 LENGTH = 2048
 #: Sequences in one record batch.
 BATCH = 64
+#: Text of a file at most, and at least where that leaves no machine idle.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 
 
 def _schema(kind: pa.DataType, length: int) -> pa.Schema:
@@ -117,8 +119,11 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, folder
     """Encodes every text, appends `end` to each document, and writes token files in ascending doc_id order."""
     ready(spark)
     folder = folder or new_folder(spark, "tokens")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-volume // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // LEAST_BYTES)))
+    # texts that share an id are dealt by a hash of their text
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, name = encoder(tokenizer), None, f"{uuid.uuid4().hex}.arrow"
