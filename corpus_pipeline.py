@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality, toxicity, near-duplicates, benchmark leaks, packing. Each stage reads what the one before kept."""
+"""A corpus pipeline: quality, toxicity, near-duplicates, benchmark leaks, packing. Each stage reads what the one before kept.
+
+Defined cases, in any stage: a null text counts as empty, and null and blank texts are near-duplicates of each other, so that one
+stays; documents without an id are kept or dropped by their text like any others; rows equal in id and text become one row in the
+near-duplicate stage, and an id with several texts is decided text by text; texts of any length are worked on whole, one at a
+time beyond a few MB; without labels of both kinds a classifier gives every document one score, so that all stay or go alike;
+an empty table gives empty tables; further columns pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakframe.llm import decontam, packing, quality, simhash, toxicity
-from streakframe.llm.common import fresh, new_folder, remainder
+from streakframe.llm.common import drop_folder, fresh, new_folder, remainder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +33,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates: three fingerprints of a text's words."""
     return simhash.keep_one(spark, docs)
 
 
@@ -54,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents; between stages the rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of documents; between stages the rows are written and read again, and then go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
