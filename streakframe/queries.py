@@ -975,7 +975,7 @@ def keep_in_shell(spark, sf_dir):
     return indexing.keep_in_shell(p, crystals(spark), 0.28).select("index", "streak_id", "h", "k", "l")
 
 
-@query("SELECT z::INT AS z, y::INT AS y, x::INT AS x, z * 0.2 - 1 AS pz, y * 0.2 - 1 AS py, x * 0.2 - 1 AS px FROM (SELECT unnest(range(0, 11)) AS z), (SELECT unnest(range(0, 11)) AS y), (SELECT unnest(range(0, 11)) AS x)")
+@query(f"SELECT z::INT AS z, y::INT AS y, x::INT AS x, {s6('z * 0.2::DOUBLE - 1')} AS pz, {s6('y * 0.2::DOUBLE - 1')} AS py, {s6('x * 0.2::DOUBLE - 1')} AS px FROM (SELECT unnest(range(0, 11)) AS z), (SELECT unnest(range(0, 11)) AS y), (SELECT unnest(range(0, 11)) AS x)")
 def rotation_grid(spark, sf_dir):
     return rounded(indexing.rotogrid(spark, 11), "pz", "py", "px")
 
