@@ -260,7 +260,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, l
     each = sample.mapInArrow(counted, "id long, c long, h long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
     log = F.log(((F.col("h") + 0.5) / (ones + 1)) / ((F.col("c") - F.col("h") + 0.5) / (n - ones + 1)))
     value = F.abs(log) * F.sqrt(F.greatest(F.col("h"), F.col("c") - F.col("h")))
-    best = each.where(F.col("c") >= least).where(value > 0).orderBy(value.desc(), "id").limit(keep)
+    # each task sends its best to the driver: the features of a bounded sample need few tasks, however many Spark would take
+    best = each.where(F.col("c") >= least).where(value > 0).coalesce(4).orderBy(value.desc(), "id").limit(keep)
     vocabulary = np.sort(np.array([r.id for r in best.select("id").collect()], np.int64)).astype(np.uint32)
 
     terms = find_terms(sample, n, ones)
