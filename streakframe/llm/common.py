@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,7 +48,7 @@ def ready(spark: SparkSession) -> None:
     """
     ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > ARROW_BYTES or not spark.conf.get(name).rstrip("b").isdigit():
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
         spark.conf.set(name, f"{ARROW_BYTES}b")
 
 

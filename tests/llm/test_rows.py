@@ -193,3 +193,15 @@ def test_license_and_decontamination_recall_on_the_tables(spark):
     shares = [k / total for k in kept]
     assert all(s <= bound for s, bound in zip(shares, (0.88, 0.75, 0.6), strict=False)), shares
     assert set(queries.oracle_sql()) >= {"op1_license_scan", "op8_decontamination"}
+
+
+def test_a_lesser_bound_of_arrow_batches_stays(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("64m", common.ARROW_BYTES), ("1m", 1 << 20), ("1000b", 1000)):
+            spark.conf.set(name, given)
+            common.ready(spark)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
