@@ -66,6 +66,24 @@ def bounded(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = B
                 yield b.slice(start, stop - start)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def move_files(spark: SparkSession, paths: list[str], folder: str) -> None:
+    """Moves files to a new folder, which has its name only when it is whole."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    target, draft = Path(folder), Path(f"{folder}.{uuid.uuid4().hex}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(draft)
+    for path in paths:
+        if not store.rename(Path(path), draft):
+            raise OSError(f"{path} can't be moved")
+    if store.exists(target) or not store.rename(draft, target):
+        raise OSError(f"{folder} can't be made")
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 

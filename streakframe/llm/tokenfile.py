@@ -5,6 +5,7 @@ after each document, are cut into sequences of equal length. A file has the colu
 that length: sequence k of a file lies at a place that its number gives, and no read copies. The mask is true where an id
 is; only a file's last sequence has padding. Ids are 16 bits wide where the vocabulary allows it. Encoding looks words up that a
 worker has met (tokens.py), which takes a quarter of the time of encoding each text anew. An index table has a row for each document: file, place in it, length.
+Workers write its rows as Parquet themselves, beside their token files; the driver moves those of tasks that ended well to the index's folder.
 
 Defined cases: a null text is empty and has just the end id; ids of documents with equal doc_id are ordered by text; null
 ids come first; an empty table gives no files; extra columns are ignored.
@@ -19,10 +20,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakframe.llm.common import bounded, map_file, new_folder, open_store, ready
+from streakframe.llm.common import bounded, drop_folder, folder_exists, map_file, move_files, new_folder, open_store, ready
 from streakframe.llm.tokens import encoder
 
 LENGTH = 2048
@@ -30,6 +32,8 @@ LENGTH = 2048
 BATCH = 64
 #: Text of a file at most, and at least where that leaves no machine idle.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+#: Rows of the index that a worker holds.
+ROWS = 50_000
 
 
 def _schema(kind: pa.DataType, length: int) -> pa.Schema:
@@ -77,6 +81,33 @@ class Writer:
         self.out.close()
 
 
+class IndexWriter:
+    """Appends rows of the index to a Parquet file."""
+
+    def __init__(self, uri: str, schema: pa.Schema) -> None:
+        store, path = open_store(uri)
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        self.out = pq.ParquetWriter(path, schema, filesystem=store)
+        self.held: list[pa.RecordBatch] = []
+        self.count = 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        # copied: Spark's batch, with its texts, is one buffer
+        self.held.append(rows.take(pa.array(np.arange(len(rows)))))
+        self.count += len(rows)
+        if self.count >= ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.out.write_table(pa.Table.from_batches(self.held))
+        self.held, self.count = [], 0
+
+    def close(self) -> None:
+        self._flush()
+        self.out.close()
+
+
 class Reader:
     """Random access to a token file without copies of whole sequences."""
 
@@ -124,25 +155,33 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, folder
     # texts that share an id are dealt by a hash of their text
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    path, drafts = f"{folder}/index", f"{folder}/drafts"
+    if folder_exists(spark, path):
+        raise FileExistsError(path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, name = encoder(tokenizer), None, f"{uuid.uuid4().hex}.arrow"
+        encode, writer, index, name = encoder(tokenizer), None, None, uuid.uuid4().hex
         for b in bounded(batches):
             if writer is None:
-                writer = Writer(f"{folder}/{name}", encode.tokenizer.get_vocab_size(), length)
+                writer = Writer(f"{folder}/{name}.arrow", encode.tokenizer.get_vocab_size(), length)
             place, count = [], []
             for own in encode.ids(b.column("text")):
                 ids = np.append(own, np.uint32(end))
                 place.append(writer.add(ids))
                 count.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array([name] * len(count)), pa.array(place, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "part", "file", "place", "n_tokens"])
+            rows = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array([f"{name}.arrow"] * len(count)), pa.array(place, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "part", "file", "place", "n_tokens"])
+            index = index or IndexWriter(f"{drafts}/{name}.parquet", rows.schema)
+            index.add(rows)
         if writer:
             writer.close()
+            index.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
     schema = docs.select("doc_id", F.lit(0).alias("part"), F.lit("").alias("file"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("n_tokens")).schema
-    # the index keeps only the files of tasks that ended well: a task that is run again writes a file of another name
-    path = f"{folder}/index"
-    dealt.mapInArrow(encoded, schema).write.parquet(path)
+    # the index keeps only the files of tasks that ended well: a task that is run again writes files of another name
+    ended = [r.name for r in dealt.mapInArrow(encoded, "name string").collect()]
+    move_files(spark, [f"{drafts}/{n}.parquet" for n in ended], path)
+    drop_folder(spark, drafts)
     return TokenFiles(folder, spark.read.schema(schema).parquet(path))
 
 

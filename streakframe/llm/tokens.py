@@ -5,7 +5,7 @@ led by its word) merges across such a place, so the ids of the pieces in a row a
 looked up; those not met yet go to the tokenizers library. Its whole encoder takes several times as long as its merges, so
 for pieces of ASCII and Latin-1 letters, where normal forms and character classes leave no doubt, the piece is split by the
 file's own pattern and only the merges are left to the library; every other piece takes the library's encoder. Look-up tables
-are emptied at a bound.
+are emptied at a bound of bytes, whatever the length of their pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 _ODD = f"^{_WHITE}|{_WHITE}$|{_WHITE} "
 #: Bytes of text that are worked on at once.
 _CHUNK = 4 << 20
-_PIECES, _WORDS = 1_200_000, 200_000
+#: Bytes of a worker's look-up tables, and of an entry besides its key and ids: its place in the table.
+_PIECES, _WORDS, _PLACES = 192 << 20, 32 << 20, 64
 _open: dict[str, Encoder] = {}
 
 
@@ -54,6 +56,7 @@ class Encoder:
         # ids as bytes: nothing in the look-up tables is walked by the garbage collector, and a text's ids are one join
         self.led: dict[str, bytes] = {}  # of a piece with a space before it
         self.words: dict[str, bytes] = {}
+        self.led_bytes = self.words_bytes = 0
         with open(path) as f:
             kept = json.load(f)
         split = kept["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -85,6 +88,7 @@ class Encoder:
                 ids = self._word(w)
                 if w[0] != " ":
                     words[w] = ids
+                    self.words_bytes += getsizeof(w) + getsizeof(ids) + _PLACES
             out.append(ids)
         return b"".join(out)
 
@@ -112,6 +116,15 @@ class Encoder:
             out += self._chunk(texts.slice(start, stop - start))
         return out
 
+    def _trim(self) -> None:
+        """Empties the tables that have reached their bounds; new entries before the next call come from one chunk."""
+        if self.led_bytes > _PIECES:
+            self.led.clear()
+            self.led_bytes = 0
+        if self.words_bytes > _WORDS:
+            self.words.clear()
+            self.words_bytes = 0
+
     def _chunk(self, texts: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD)
         for a in self.added:
@@ -125,16 +138,14 @@ class Encoder:
         first = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
         which, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        if len(self.led) > _PIECES:
-            self.led.clear()
-        if len(self.words) > _WORDS:
-            self.words.clear()
+        self._trim()
         known = self.led
         found = list(map(known.get, names))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
                     found[k] = known[names[k]] = self._led(names[k])
+                    self.led_bytes += getsizeof(names[k]) + getsizeof(found[k]) + _PLACES
         # a text's first part has no space before it
         found += [self._new(names[k]) for k in which[first[:-1]]]
         which[first[:-1]] = np.arange(len(names), len(found))

@@ -297,6 +297,33 @@ def test_ids_are_the_tokenizers_own(name, documents):
     assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_look_up_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "_PIECES", 200_000)
+    monkeypatch.setattr(tokens, "_WORDS", 200_000)
+    encode, plain = tokens.Encoder("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    draw, most = np.random.default_rng(4), 0
+    for _ in range(30):
+        # words of 300 letters, with a comma and without, of which none comes twice
+        text = " ".join("".join(map(chr, draw.integers(97, 123, 300))) + end for end in ("", ",") * 30)
+        assert encode.ids(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        most = max(most, *(sum(len(k) + len(v) for k, v in t.items()) for t in (encode.led, encode.words)))
+    assert most < 400_000
+
+
+def test_token_index_in_one_folder_once(spark, tmp_path):
+    rows = [(k, "a text " * k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "k int, text string")
+    for n, kind in enumerate(("k", "cast(k as string)", "cast(k as decimal(20, 3))", "timestamp_seconds(k)", "cast(date_add(date'2020-01-01', k) as date)")):
+        files = tokenfile.write(spark, docs.selectExpr(f"{kind} AS doc_id", "text"), "word_bpe_49k.json", 2, folder=f"file://{tmp_path}/{n}")
+        want = docs.selectExpr(f"{kind} AS doc_id").collect()
+        assert sorted(r.doc_id for r in tokenfile.read(spark, files).collect()) == sorted(r.doc_id for r in want)
+        assert files.index.schema["doc_id"].dataType == docs.selectExpr(f"{kind} AS doc_id").schema["doc_id"].dataType
+    with pytest.raises(Exception, match="index"):
+        tokenfile.write(spark, docs.selectExpr("k AS doc_id", "text"), "word_bpe_49k.json", 2, folder=f"file://{tmp_path}/0")
+    named = spark.read.parquet(f"file://{tmp_path}/0/index").select("file").distinct().collect()
+    assert {p.name for p in (tmp_path / "0").iterdir()} == {"index", *(r.file for r in named)}
+
+
 def test_token_files_read_back(spark, odd, none):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     files = tokenfile.write(spark, odd, "word_bpe_49k.json", 2, length=64)
