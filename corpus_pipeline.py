@@ -44,7 +44,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
-    cut = packing.pieces(docs, "byte_bpe_50k.json", end=0)
+    # workers and the JVM still hold what earlier stages took
+    cut = packing.pieces(docs, "byte_bpe_50k.json", end=0, share=0.25)
     return packing.pack(spark, cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

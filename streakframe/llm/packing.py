@@ -28,12 +28,15 @@ from streakframe.llm.tokens import encoder
 SIZE = 2048
 
 
-def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE) -> DataFrame:
-    """(doc_id, row, piece, start, length, ids_crc32); row tells apart documents of one id. Only the first piece is short."""
+def pieces(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, share: float = 1.0) -> DataFrame:
+    """(doc_id, row, piece, start, length, ids_crc32); row tells apart documents of one id. Only the first piece is short.
+
+    share: of the bounds of the encoder's look-up tables; less is slower and takes less memory of a worker.
+    """
     ready(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, share)
         for b in bounded(batches):
             owner, number, start, length, crc = [], [], [], [], []
             for k, own in enumerate(encode.ids(b.column("text"))):

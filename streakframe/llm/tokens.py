@@ -57,6 +57,7 @@ class Encoder:
         self.led: dict[str, bytes] = {}  # of a piece with a space before it
         self.words: dict[str, bytes] = {}
         self.led_bytes = self.words_bytes = 0
+        self.share = 1.0  # of the tables' bounds
         with open(path) as f:
             kept = json.load(f)
         split = kept["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -118,10 +119,10 @@ class Encoder:
 
     def _trim(self) -> None:
         """Empties the tables that have reached their bounds; new entries before the next call come from one chunk."""
-        if self.led_bytes > _PIECES:
+        if self.led_bytes > _PIECES * self.share:
             self.led.clear()
             self.led_bytes = 0
-        if self.words_bytes > _WORDS:
+        if self.words_bytes > _WORDS * self.share:
             self.words.clear()
             self.words_bytes = 0
 
@@ -160,8 +161,9 @@ class Encoder:
         return out
 
 
-def encoder(name: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(name: str, share: float = 1.0) -> Encoder:
+    """One for each worker process and file; its look-up tables take that share of their bounds."""
     if name not in _open:
         _open[name] = Encoder(name)
+    _open[name].share = share
     return _open[name]

@@ -308,6 +308,7 @@ def test_look_up_tables_are_bounded_by_bytes(monkeypatch):
         assert encode.ids(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
         most = max(most, *(sum(len(k) + len(v) for k, v in t.items()) for t in (encode.led, encode.words)))
     assert most < 400_000
+    assert encode.share == tokens.encoder("word_bpe_49k.json").share == 1 and tokens.encoder("word_bpe_49k.json", 0.25).share == 0.25
 
 
 def test_token_index_in_one_folder_once(spark, tmp_path):
