@@ -116,43 +116,91 @@ def robust_lsq(pixels: DataFrame, fields: DataFrame, r0: float = 0.5, r1: float
     return rows.mapInPandas(fitted, "frame long, comp int, coef double")
 
 
+def _rest(whitefields: DataFrame, flatfield: DataFrame) -> DataFrame:
+    base = flatfield.select(*PIXEL, F.col("value").alias("_b"))
+    return whitefields.join(base, list(PIXEL)).select("wf", *PIXEL, (F.col("value") - F.col("_b")).alias("v"))
+
+
+def _products(rows: DataFrame, by: list[str], item: str) -> DataFrame:
+    """(i, j, g) for i <= j: the sums of v v' over groups. A group brings its items together in an array, so that pairs are made without a join."""
+    first = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(item, "v"))).alias("f")).select("f", F.explode("f").alias("a"))
+    pairs = first.select("a", F.explode("f").alias("b")).where(F.col("a")[item] <= F.col("b")[item])
+    return pairs.groupBy(F.col("a")[item].alias("i"), F.col("b")[item].alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("g"))
+
+
 def gram(whitefields: DataFrame, flatfield: DataFrame) -> DataFrame:
-    """(i, j, g) for i <= j: products of whitefields less the flatfield. whitefields: (wf, module, ss, fs, value).
+    """(i, j, g) for i <= j: products of whitefields less the flatfield. whitefields: (wf, module, ss, fs, value)."""
+    return _products(_rest(whitefields, flatfield), list(PIXEL), "wf")
 
-    A pixel brings its few whitefields together in an array, so that pairs are made without a join.
-    """
-    base = flatfield.select(*PIXEL, F.col("value").alias("_b"))
-    rows = whitefields.join(base, list(PIXEL)).groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("wf", (F.col("value") - F.col("_b")).alias("v")))).alias("f"))
-    first = rows.select("f", F.explode("f").alias("a"))
-    pairs = first.select("a", F.explode("f").alias("b")).where("a.wf <= b.wf")
-    return pairs.groupBy(F.col("a.wf").alias("i"), F.col("b.wf").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("g"))
+
+def _solved(products: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names in order, eigenvalues in ascending order and eigenvectors of a matrix of products."""
+    rows = products.toArrow()
+    i, j, g = (rows[c].to_numpy() for c in "ijg")
+    names = np.unique(np.concatenate([i, j]))
+    matrix = np.zeros((len(names), len(names)))
+    i, j = np.searchsorted(names, i), np.searchsorted(names, j)
+    matrix[i, j] = matrix[j, i] = g
+    return names, *np.linalg.eigh(matrix)
 
 
 def pca(whitefields: DataFrame, flatfield: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(comp, module, ss, fs, value) and (comp, ratio), in ascending order of eigenvalues.
 
-    The matrix of products has a row for each whitefield (hundreds at most) and is solved on the driver. A component's sign
-    is such that its weight of largest magnitude is positive.
+    The matrix of products has a row for each whitefield or, if they are fewer, for each pixel: it grows with the lesser of the
+    two (a few thousand at most) and is solved on the driver. A component's sign is such that its weight of largest magnitude
+    is positive.
     """
     spark = whitefields.sparkSession
-    rows = gram(whitefields, flatfield).collect()
-    names = sorted({r.i for r in rows} | {r.j for r in rows})
-    if len(names) < 2:
+    n = whitefields.agg(F.count_distinct("wf")).first()[0]
+    if n < 2:
         raise ValueError("principal components need two whitefields or more")
-    place = {name: k for k, name in enumerate(names)}
-    matrix = np.zeros((len(names), len(names)))
-    for r in rows:
-        matrix[place[r.i], place[r.j]] = matrix[place[r.j], place[r.i]] = r.g
-    values, vectors = np.linalg.eigh(matrix)
+    if flatfield.count() < n:
+        return _pca_by_pixels(whitefields, flatfield, n)
+    names, values, vectors = _solved(gram(whitefields, flatfield))
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(names))])
     weights = spark.createDataFrame([(int(names[i]), int(j), float(vectors[i, j])) for i in range(len(names)) for j in range(len(names))], "wf long, comp int, w double")
     ratios = spark.createDataFrame([(int(j), float(v)) for j, v in enumerate(values / values.sum())], "comp int, ratio double")
-    base = flatfield.select(*PIXEL, F.col("value").alias("_b"))
-    parts = whitefields.join(base, list(PIXEL)).join(F.broadcast(weights), "wf")
-    fields = parts.groupBy("comp", *PIXEL).agg(F.sum(F.col("w") * (F.col("value") - F.col("_b"))).alias("value"))
+    parts = _rest(whitefields, flatfield).join(F.broadcast(weights), "wf")
+    fields = parts.groupBy("comp", *PIXEL).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
     return fields, ratios
 
 
+def _pca_by_pixels(whitefields: DataFrame, flatfield: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """pca of more whitefields than pixels: X'X has the eigenvalues of XX' that aren't 0, and a field is a vector of it times their root.
+
+    The other components are 0 everywhere.
+    """
+    spark = whitefields.sparkSession
+    ship(spark)
+    pixels = sorted(tuple(r) for r in flatfield.select(*PIXEL).collect())
+    kinds = ", ".join(f"{c} {flatfield.schema[c].dataType.simpleString()}" for c in PIXEL)
+    place = F.broadcast(spark.createDataFrame([(*p, k) for k, p in enumerate(pixels)], f"{kinds}, at int"))
+    rows = _rest(whitefields, flatfield).join(place, list(PIXEL)).select("wf", "at", F.col("v").cast("double").alias("v"))
+    names, values, vectors = _solved(_products(rows, ["wf"], "at"))
+    total, m = values.sum(), len(names)
+
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.zeros((len(b), m))
+            for k, (at, v) in enumerate(zip(b["at"], b["v"], strict=True)):
+                x[k, np.searchsorted(names, at)] = v
+            weight = np.nan_to_num(x) @ vectors
+            best = np.lexsort((np.broadcast_to(b["wf"].to_numpy()[:, None], weight.shape), -np.abs(weight)), axis=0)[0]
+            yield pd.DataFrame({"comp": np.arange(m), "size": np.abs(weight).max(axis=0), "wf": b["wf"].to_numpy()[best], "sign": np.sign(weight[best, np.arange(m)])})
+
+    arrays = rows.groupBy("wf").agg(F.collect_list(F.struct("at", "v")).alias("f")).select("wf", F.col("f.at").alias("at"), F.col("f.v").alias("v"))
+    tops = arrays.mapInPandas(largest, "comp int, size double, wf long, sign double")
+    signs = {r.comp: r.sign for r in tops.groupBy("comp").agg(F.max_by("sign", F.struct("size", -F.col("wf"))).alias("sign")).collect()}
+    found = [(n - m + j, pixels[at], float(signs[j] * np.sqrt(max(values[j], 0)) * vectors[k, j])) for j in range(m) for k, at in enumerate(names)]
+    fields = spark.createDataFrame([(comp, *p, value) for comp, p, value in found], f"comp int, {kinds}, value double")
+    ratios = spark.createDataFrame([(n - m + j, float(v)) for j, v in enumerate(values / total)], "comp int, ratio double")
+    zero = spark.range(n - m).select(F.col("id").cast("int").alias("comp"))
+    there = place.where(F.col("at").isin(names.tolist())).select(*PIXEL)
+    blank = zero.join(F.broadcast(there), how="cross").withColumn("value", F.lit(0.0))
+    return fields.unionByName(blank), ratios.unionByName(zero.withColumn("ratio", F.lit(float(np.zeros(1)[0] / total))))
+
+
 def project(coefficients: DataFrame, fields: DataFrame, flatfield: DataFrame) -> DataFrame:
     """(frame, module, ss, fs, value): the flatfield and the fields times their coefficients."""
     part = coefficients.join(fields.select("comp", *PIXEL, F.col("value").alias("w")), "comp")

@@ -191,6 +191,24 @@ def test_pca_rebuilds_whitefields(spark):
         stats.pca(wf.where("wf = 0"), flat)
 
 
+def test_pca_of_more_whitefields_than_pixels(spark, monkeypatch):
+    x = np.random.default_rng(6).random((40, 6)) * np.arange(1, 7)
+    wf = spark.createDataFrame([(k, 0, p // 3, p % 3, float(x[k, p])) for k in range(40) for p in range(6)], "wf long, module int, ss int, fs int, value double")
+    flat, solved, solve = wf.groupBy("module", "ss", "fs").agg(F.avg("value").alias("value")), [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: solved.append(a.shape) or solve(a))
+    eigen, ratios = stats.pca(wf, flat)
+    assert solved == [(6, 6)]  # grows with pixels, not with whitefields
+    u, size, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    u, size = u[:, ::-1], size[::-1]
+    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(6)])
+    want = np.concatenate([np.zeros((34, 6)), u.T @ (x - x.mean(axis=0))])
+    got = np.full((40, 6), np.nan)
+    for r in eigen.collect():
+        got[r.comp, 3 * r.ss + r.fs] = r.value
+    assert np.allclose(got, want)
+    assert np.allclose([r.ratio for r in ratios.orderBy("comp").collect()], [0] * 34 + list(size**2 / (size**2).sum()))
+
+
 def test_detection_finds_the_lines_and_streams_alike(spark, tmp_path):
     b = blocks(spark)
     meta = pixels.reset_mask(stats.background(to_long(blocks(spark, 6, seed=9)).withColumn("value", F.lit(100.0)), "mean-poisson").withColumn("std", F.lit(2.0)))
