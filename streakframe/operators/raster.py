@@ -6,11 +6,16 @@ segments: (frame, x_0, y_0, x_1, y_1, width) with any further columns; z_0 and z
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakframe.functions.stages import staged
+from streakframe.kernels import raster as numeric
+from streakframe.session import ship
 
 KERNELS = ("rectangular", "gaussian", "triangular", "parabolic", "biweight")
 
@@ -54,26 +59,99 @@ def footprint(segments: DataFrame, shape: tuple[int, ...], max_val: float = 1.0,
     return staged(out, _x=ratio).where(F.col("_x") <= 1).withColumn("value", max_val * kernel(kernel_name, F.col("_x"))).drop("_x", "_t")
 
 
-def _combine(how: str) -> Column:
-    if how not in ("sum", "max"):
-        raise ValueError(f"lines can't overlap by {how}")
-    return (F.sum if how == "sum" else F.max)("value")
-
-
 def _pixel(shape: tuple[int, ...]) -> list[str]:
     return [*(["z"] if len(shape) == 3 else []), "ss", "fs"]
 
 
+def _runs(columns: list[pa.Array], before: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before it. before: the row before the first, or nothing."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = not before
+    for k, c in enumerate(columns):
+        c = pa.concat_arrays([before[k], c]) if before else c
+        there = c.is_valid().to_numpy(zero_copy_only=False)
+        value = c.drop_null().to_numpy(zero_copy_only=False)
+        filled = np.zeros(len(c), value.dtype)
+        filled[there] = value
+        new[0 if before else 1 :] |= (filled[1:] != filled[:-1]) | (there[1:] != there[:-1])
+    return new
+
+
+def _drawn(segments: DataFrame, shape: tuple[int, ...], max_val: float, kernel_name: str, keys: dict[str, str], gathered: bool = False) -> DataFrame:
+    """(frame, [z,] ss, fs, value). keys: how pixels of one key overlap, the innermost key last; frame is the first.
+
+    Segments are shuffled, not their pixels: a frame's come together, sorted by the keys, and are drawn in passing. A worker
+    holds one frame's touched pixels and a bounded number of others. gathered: they come so already.
+    """
+    if kernel_name not in KERNELS:
+        raise ValueError(f"kernel can't be {kernel_name}")
+    for how in keys.values():
+        if how not in ("sum", "max"):
+            raise ValueError(f"lines can't overlap by {how}")
+    ship(segments.sparkSession)
+    axes, names, size = ("z", "y", "x")[3 - len(shape) :], list(keys), math.prod(shape)
+    numbers = [*(f"{a}_0" for a in axes), *(f"{a}_1" for a in axes), "width"]
+    rows = segments.select(*names, *(F.col(c).cast("double").alias(c) for c in numbers))
+    if not gathered:
+        rows = rows.where(F.col("width") > 0).repartition("frame").sortWithinPartitions(*names)
+    frame = segments.schema["frame"].dataType.simpleString()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outer, inner = numeric.Overlap(keys["frame"], size), numeric.Overlap(keys[names[-1]], size)
+        before: list[pa.Array] = []
+        labels, first = None, 0  # the frames from the number `first` on
+        owner, low = np.zeros(0, int), 0  # the frame's number of each run of keys from `low` on
+
+        def rows_of(group: np.ndarray, pixel: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(group):
+                at = np.unravel_index(pixel, shape)
+                columns = [labels.take(pa.array(group - first)), *(pa.array(x.astype(np.int32)) for x in at), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, ["frame", *_pixel(shape), "value"])
+
+        def passed(group: np.ndarray, pixel: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return outer.add(owner[group - low], pixel, value) if len(names) > 1 else (group, pixel, value)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(c) for c in names]
+            new = _runs(columns, before)
+            new_frame = _runs(columns[:1], before[:1])
+            before = [c.slice(len(c) - 1) for c in columns]
+            frames = np.cumsum(new_frame) - 1 + (first + len(labels) if labels is not None else 0)
+            runs = np.cumsum(new) - 1 + low + len(owner)
+            fresh = columns[0].filter(pa.array(new_frame))
+            labels = fresh if labels is None else pa.concat_arrays([labels, fresh])
+            owner = np.concatenate([owner, frames[new]])
+            ends = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in numbers])
+            n = len(axes)
+            for of, pixel, x in numeric.touched(ends[:n], ends[n : 2 * n], ends[-1], shape):
+                value = max_val * numeric.KERNELS[kernel_name](x)
+                yield from rows_of(*passed(*inner.add(runs[of], pixel, value)))
+            # what neither keeps is forgotten
+            keep = int(runs[-1]) if inner.group is None else inner.group
+            owner, low = owner[keep - low :], keep
+            keep = min(int(owner[0]), int(owner[0]) if len(names) == 1 or outer.group is None else outer.group)
+            labels, first = labels.slice(keep - first), keep
+        if labels is not None:
+            yield from rows_of(*passed(*inner.rest()))
+            if len(names) > 1:
+                yield from rows_of(*outer.rest())
+
+    return rows.mapInArrow(draw, f"frame {frame}, {', '.join(f'{c} int' for c in _pixel(shape))}, value double")
+
+
 def draw_lines(segments: DataFrame, shape: tuple[int, ...], max_val: float = 1.0, kernel_name: str = "rectangular", overlap: str = "sum") -> DataFrame:
     """(frame, [z,] ss, fs, value) of all pixels that a segment of the frame touches."""
-    return footprint(segments, shape, max_val, kernel_name).groupBy("frame", *_pixel(shape)).agg(_combine(overlap).alias("value"))
+    return _drawn(segments, shape, max_val, kernel_name, {"frame": overlap})
 
 
-def accumulate_lines(segments: DataFrame, shape: tuple[int, ...], max_val: float = 1.0, kernel_name: str = "rectangular", in_overlap: str = "max", out_overlap: str = "sum") -> DataFrame:
-    """As draw_lines for segments with a column term: those of one term are combined first, then the terms of a frame."""
-    at = ["frame", *_pixel(shape)]
-    terms = footprint(segments, shape, max_val, kernel_name).groupBy("term", *at).agg(_combine(in_overlap).alias("value"))
-    return terms.groupBy(*at).agg(_combine(out_overlap).alias("value"))
+def accumulate_lines(segments: DataFrame, shape: tuple[int, ...], max_val: float = 1.0, kernel_name: str = "rectangular", in_overlap: str = "max", out_overlap: str = "sum", gathered: bool = False) -> DataFrame:
+    """As draw_lines for segments with a column term: those of one term are combined first, then the terms of a frame.
+
+    gathered: the segments of a frame come together, and within it those of a term.
+    """
+    return _drawn(segments, shape, max_val, kernel_name, {"frame": out_overlap, "term": in_overlap}, gathered)
 
 
 def onto(image: DataFrame, drawn: DataFrame, shape: tuple[int, ...], overlap: str = "sum") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from streakframe import config as cfg
 from streakframe.functions import vectors as v
-from streakframe.operators import groups, indexing, regions
+from streakframe.operators import groups, indexing, raster, regions
 from streakframe.plans import pipelines
 from streakframe.queries import QUERIES
 from streakframe.schema import AXES
@@ -114,3 +114,37 @@ def test_every_order_and_customer_is_looked_up(spark):
     assert QUERIES["get_index"](spark, SF).count() == wanted
     rows = QUERIES["positional_zip"](spark, SF).toPandas()
     assert sorted(rows.position) == list(range(customer.count())) and rows.richer.is_unique and rows.c_name.is_unique
+
+
+@pytest.mark.parametrize("name", ["draw_lines", "draw_lines_max", "draw_lines_gaussian", "accumulate_lines", "pattern_image", "draw_onto"])
+def test_drawing_shuffles_segments_and_not_their_pixels(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    drawn = plan[plan.index("MapInArrow") :]
+    assert "Aggregate" not in plan and "Generate" not in drawn.split("Join")[0] and drawn.count("RepartitionByExpression [frame") == 1
+
+
+@pytest.mark.parametrize(("inner", "outer"), [("max", "sum"), ("sum", "max")])
+def test_frames_and_terms_that_go_on_over_batches(spark, inner, outer):
+    draw = np.random.default_rng(3)
+    rows = [(f, t, *draw.uniform(-2, 12, 4).tolist(), float(w)) for f in (None, 0, 3, 2**40) for t in (None, 1, 5) for w in draw.uniform(-0.5, 2, 30)]
+    rows += [(9, 1, 400.0, 400.0, 401.0, 400.0, 1.0), (0, 1, float("nan"), 1.0, 2.0, 3.0, 1.0), (0, 1, None, 1.0, 2.0, 3.0, 1.0)]  # nothing in the image
+    df = spark.createDataFrame(rows, "frame long, term int, x_0 double, y_0 double, x_1 double, y_1 double, width double")
+    ss, fs = np.mgrid[:9, :11]
+    want = {}
+    for f, t, *ends, w in rows:
+        if w > 0 and None not in ends:
+            (x, y), (ax, ay) = ends[:2], (ends[2] - ends[0], ends[3] - ends[1])
+            along = np.clip(((fs - x) * ax + (ss - y) * ay) / (ax * ax + ay * ay), 0, 1)
+            far = np.hypot(fs - x - along * ax, ss - y - along * ay) / w
+            for at in zip(*np.nonzero(far <= 1), strict=True):
+                want.setdefault((f, *map(int, at)), {}).setdefault(t, []).append(1 - far[at])
+    how = {"sum": sum, "max": max}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {tuple(r)[:3]: r.value for r in raster.accumulate_lines(df, (9, 11), 1.0, "triangular", inner, outer).collect()}
+        lines = {tuple(r)[:3]: r.value for r in raster.draw_lines(df, (9, 11), 1.0, "triangular", inner).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() == lines.keys()
+    assert all(np.isclose(got[k], how[outer](how[inner](v) for v in terms.values())) for k, terms in want.items())
+    assert all(np.isclose(lines[k], how[inner](x for v in terms.values() for x in v)) for k, terms in want.items())
