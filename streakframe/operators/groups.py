@@ -208,29 +208,49 @@ def positional_zip(one: DataFrame, one_order: list[str], other: DataFrame, other
     return running(one, one_order, F.lit(1), "position").join(running(other, other_order, F.lit(1), "position"), "position")
 
 
-def per_group(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = KEY) -> DataFrame:
+def _whole(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Tables of whole groups, from batches in which a group's rows come together."""
+    held: list[pd.DataFrame] = []  # the last group may go on in the next batch
+    for b in batches:
+        if not len(b):
+            continue
+        names = b[key]
+        same = (names.isna() if pd.isna(names.iloc[-1]) else names == names.iloc[-1]).to_numpy()
+        cut = len(b) - int(same[::-1].argmin()) if not same.all() else 0
+        first = held[-1][key].iloc[-1] if held else None
+        goes_on = bool(held) and (names.iloc[0] == first or pd.isna(names.iloc[0]) and pd.isna(first))
+        if held and (cut or not goes_on):
+            begun = [b.iloc[:cut]] if goes_on else []
+            yield pd.concat([*held, *begun], ignore_index=True) if len(held) + len(begun) > 1 else held[0]
+            if cut and not goes_on:
+                yield b.iloc[:cut]
+            held = []
+        elif cut:
+            yield b.iloc[:cut]
+        held.append(b.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def per_group(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = KEY, many: bool = False, gathered: bool = False) -> DataFrame:
     """function applied to the rows of each group as one table; a group must fit a worker.
 
-    Groups come sorted in large batches, so that a small group costs no round trip of its own.
+    Groups come sorted in large batches, so that a small group costs no round trip of its own. many: function takes the rows
+    of any number of whole groups and answers for each of them, for groups so small that a call for each would take most of
+    the time. gathered: the rows of a group come together already.
     """
     ship(df.sparkSession)
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
+        if many:
+            return function(rows)
         return pd.concat([function(own) for _, own in rows.groupby(key, sort=False, dropna=False)])
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            rows = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = rows[key].iloc[-1]
-            same = rows[key].isna() if pd.isna(last) else rows[key] == last
-            whole, held = rows[~same], rows[same]  # the last group may go on in the next batch
-            if len(whole):
-                yield each(whole)
-        if held is not None:
-            yield each(held)
-
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(found, schema)
+        for rows in _whole(batches, key):
+            yield each(rows)
+
+    return (df if gathered else df.repartition(key).sortWithinPartitions(key)).mapInPandas(found, schema)
 
 
 def replace(df: DataFrame, **values: Column) -> DataFrame:

@@ -167,9 +167,9 @@ def index_patterns(patterns: DataFrame, xtals: DataFrame, lens: indexing.Lens, c
     rlp, crystals = indexing.lattice(hkl, xtals), xtals.limit(2).count()
     # points and streaks meet by cells of |q|^2; one crystal's points serve every pattern
     pairs = indexing.candidates(rlp.drop("index") if crystals == 1 else rlp, uca, q_abs**2 / 256)
-    curves = indexing.rotograms(pairs, num_points)
+    # candidates are dealt by pattern and sorted; what is made of them stays in that order, and no cell of a map is shuffled
+    dealt = pairs.drop("min_res", "max_res").repartition("index").sortWithinPartitions("index", "streak_id")
     size = config.shape[0]
-    maps = indexing.rotomap(curves, size, config.width)
-    peaks = indexing.to_peaks(maps, config.threshold, config.n_max)
-    tilts = indexing.refine_peaks(peaks, maps, size, config.vicinity.to_structure(3), config.connectivity.to_structure(3))
+    maps = indexing.rotomap(indexing.rotograms(dealt, num_points), size, config.width, gathered=True)
+    tilts = indexing.map_tilts(maps, config.threshold, config.n_max, size, config.vicinity.to_structure(3), config.connectivity.to_structure(3))
     return indexing.solutions(tilts, xtals)

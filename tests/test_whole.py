@@ -7,6 +7,7 @@ import pytest
 
 from streakframe import config as cfg
 from streakframe.functions import vectors as v
+from streakframe.kernels.structure import Structure
 from streakframe.operators import groups, indexing, raster, regions
 from streakframe.plans import pipelines
 from streakframe.queries import QUERIES
@@ -148,3 +149,24 @@ def test_frames_and_terms_that_go_on_over_batches(spark, inner, outer):
     assert got.keys() == want.keys() == lines.keys()
     assert all(np.isclose(got[k], how[outer](how[inner](v) for v in terms.values())) for k, terms in want.items())
     assert all(np.isclose(lines[k], how[inner](x for v in terms.values() for x in v)) for k, terms in want.items())
+
+
+def test_patterns_are_indexed_without_a_shuffle_of_cells(spark):
+    plan = QUERIES["index_patterns"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    after = plan.split("RepartitionByExpression [index")
+    assert len(after) == 2 and not any(x in after[0] for x in ("Window", "Aggregate", "Repartition", "FlatMapGroups"))
+
+
+def test_tilts_in_one_pass_are_those_of_peaks_refined(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, int(z), int(y), int(x), float(draw.integers(1, 6))) for i in (7, 2, 5) for z, y, x in draw.permutation(list(np.ndindex(6, 6, 6)))[:150]]
+    maps = spark.createDataFrame(rows, "index long, z int, y int, x int, value double").coalesce(1)
+    vicinity = Structure((1, 1, 1), 1)
+    for threshold, n_max in ((0.7, 5), (0.3, 1000)):
+        want = sorted(map(tuple, indexing.refine_peaks(indexing.to_peaks(maps, threshold, n_max), maps, 6, vicinity).collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+        try:
+            got = sorted(map(tuple, indexing.map_tilts(maps, threshold, n_max, 6, vicinity).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) and np.allclose(got, want)
