@@ -877,9 +877,10 @@ def per_group(spark, sf_dir):
     def spans(rows):
         import pandas as pd
 
-        return pd.DataFrame({"index": rows["index"].iloc[:1], "n": [len(rows)], "span": [rows.x_1.max() - rows.x_0.min()]})
+        own = rows.groupby("index", sort=False, dropna=False)
+        return pd.DataFrame({"n": own.size(), "span": own.x_1.max() - own.x_0.min()}).reset_index()
 
-    return groups.per_group(lines(spark, sf_dir).select("index", "x_0", "x_1"), spans, "index long, n int, span double")
+    return groups.per_group(lines(spark, sf_dir).select("index", "x_0", "x_1"), spans, "index long, n int, span double", many=True)
 
 
 @query(f"WITH {SEG} SELECT index, row, part, x_0 + 1 AS x_0, -y_0 AS y_0, x_1, y_1 FROM seg")

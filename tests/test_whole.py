@@ -170,3 +170,32 @@ def test_tilts_in_one_pass_are_those_of_peaks_refined(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert len(got) and np.allclose(got, want)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_many_groups_go_to_one_call_and_none_is_cut(spark, size):
+    rows = [(k, float(7 * k % 5 + j)) for k in range(40) for j in range(1 + k % 6)] + [(None, 3.0), (None, 5.0)] * 4
+    df = spark.createDataFrame(rows, "index long, x double").coalesce(1)
+
+    def spans(rows):
+        import pandas as pd
+
+        own = rows.groupby("index", sort=False, dropna=False)
+        return pd.DataFrame({"n": own.size(), "sum": own.x.sum()}).reset_index().assign(groups=own.ngroups)
+
+    def one(rows):
+        assert rows["index"].nunique(dropna=False) == 1
+        return spans(rows)
+
+    schema, want = "index long, n int, sum double, groups int", {}
+    for k, x in rows:
+        n, total = want.get(k, (0, 0.0))
+        want[k] = n + 1, total + x
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        many, single = (groups.per_group(df, f, schema, many=m).collect() for f, m in ((spans, True), (one, False)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for got in (many, single):
+        assert len(got) == len(want) and {r["index"]: (r.n, r.sum) for r in got} == want
+    assert size < 1000 or max(r.groups for r in many) > 5
